@@ -1,43 +1,47 @@
-"""Rounding, guarded ratios and order-independent sums."""
+"""Rounding, guarded ratios and order-independent sums.
 
-from __future__ import annotations
+The formulas are SQL text over named columns: one expression each to build and to parse, and a
+value they use often is computed once, in the projection below.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-# 2**27 + 1 splits a double into two halves whose products with 100 are exact.
-_SPLIT = 134217729.0
-# From here on doubles are spaced wider than a cent, so there is nothing to round.
-_NO_CENTS = 9.0e13
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def round2(x: Column) -> Column:
-    """Round a double to two places as Python's ``round(x, 2)`` does.
+# 134217729 = 2**27 + 1 splits a double into two halves whose products with 100 are exact. From
+# 9e13 on doubles are spaced wider than a cent, so there is nothing to round.
+_HIGH = "({x} * 134217729D - ({x} * 134217729D - {x}))"
+_CENTS = "({x} * 100D)"
+_ERROR = f"(({_HIGH} * 100D - {_CENTS}) + ({{x}} - {_HIGH}) * 100D)"
+_WHOLE = f"CAST(floor({_CENTS}) AS DOUBLE)"
+_OVER = f"({_CENTS} - {_WHOLE} - 0.5D)"
+_UP = (
+    f"{_OVER} > 0 OR ({_OVER} = 0 AND ({_ERROR} > 0 OR"
+    f" ({_ERROR} = 0 AND pmod({_WHOLE}, 2D) = 1)))"
+)
+_ROUND2 = (
+    f"CASE WHEN abs({{x}}) >= 9e13D THEN {{x}}"
+    f" ELSE ({_WHOLE} + CASE WHEN {_UP} THEN 1D ELSE 0D END) / 100D END"
+)
+
+
+def round2(name: str) -> Column:
+    """A double column rounded to two places as Python's ``round(x, 2)`` does.
 
     Python rounds the exact binary value. ``x * 100`` alone loses the last bits, so its rounding
     error is computed as well and settles the cases that land on a half; a true half goes to the
     even neighbour. All steps are plain IEEE arithmetic and stay in generated code.
     """
-    wide = x * F.lit(_SPLIT)
-    high = wide - (wide - x)
-    low = x - high
-    cents = x * F.lit(100.0)
-    error = (high * F.lit(100.0) - cents) + low * F.lit(100.0)
-    whole = F.floor(cents).cast("double")
-    over = cents - whole - F.lit(0.5)
-    odd = F.pmod(whole, F.lit(2.0)) == 1.0
-    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & odd)))
-    return F.when(F.abs(x) >= _NO_CENTS, x).otherwise(
-        (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(100.0)
-    )
+    return F.expr(_ROUND2.format(x=f"`{name}`"))
 
 
-def ratio(top: Column, bottom: Column, times: float | None = None) -> Column:
-    """``top / bottom`` rounded to two places, null unless ``bottom`` is positive."""
-    value = top / bottom
-    if times is not None:
-        value = value * F.lit(times)
-    return F.when(bottom > 0, round2(value))
+def ratio(top: str, bottom: str, times: int = 1) -> str:
+    """``top / bottom``, null unless ``bottom`` is positive; not rounded yet."""
+    scaled = f" * {times}D" if times != 1 else ""
+    return f"CASE WHEN {bottom} > 0 THEN {top} / {bottom}{scaled} END"
 
 
 def finite(x: Column) -> Column:
@@ -50,35 +54,41 @@ def finite(x: Column) -> Column:
 # BIGINT, which cannot overflow below 2**42 rows per group and does not depend on the order of
 # the rows. What millionths cannot express is summed as a double beside them; for values with up
 # to six decimals it is exactly zero.
-_UNITS = 1e6
-_BITS = 21
-_MASK = (1 << _BITS) - 1
-_LARGEST = 4.0e12
+_UNITS = "CASE WHEN abs({x}) < 4e12D THEN CAST(rint({x} * 1000000D) AS BIGINT) ELSE 0L END"
+_PARTS = {
+    "high": "sum(shiftright({x}__units, 42))",
+    "mid": "sum(shiftright({x}__units, 21) & 2097151L)",
+    "low": "sum({x}__units & 2097151L)",
+    "rest": "sum({x}__rest)",
+}
+# Within 2**53 units one division gives the nearest double; beyond it decimals do.
+_TOTAL = """coalesce(
+    CASE WHEN abs({x}__high) < 1024 AND abs({x}__mid) < 2147483648L AND {x}__low < 4503599627370496L
+    THEN CAST({x}__high * 4398046511104L + {x}__mid * 2097152L + {x}__low AS DOUBLE) / 1000000D
+    ELSE CAST(CAST(CAST({x}__high AS DECIMAL(20,0)) * 4398046511104BD
+        + CAST({x}__mid AS DECIMAL(20,0)) * 2097152BD + {x}__low AS DECIMAL(38,0)) * 0.000001BD
+        AS DOUBLE)
+    END + {x}__rest, 0D)"""
+
+
+def split_amounts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Replace double columns by what :func:`sum_parts` adds up. Do this below an ``Expand``."""
+    kept = [F.col(c) for c in df.columns if c not in names]
+    units = df.select(
+        "*", *[F.expr(_UNITS.format(x=n)).alias(f"{n}__units") for n in names]
+    )
+    return units.select(
+        *kept,
+        *[f"{n}__units" for n in names],
+        *[F.expr(f"{n} - {n}__units / 1000000D").alias(f"{n}__rest") for n in names],
+    )
 
 
-def sum_parts(x: Column, name: str) -> list[Column]:
-    """Aggregates whose total is the sum of the double ``x``; see :func:`sum_total`."""
-    units = F.when(F.abs(x) < _LARGEST, F.rint(x * F.lit(_UNITS)).cast("bigint")).otherwise(0)
-    return [
-        F.sum(F.shiftright(units, 2 * _BITS)).alias(f"{name}__high"),
-        F.sum(F.shiftright(units, _BITS).bitwiseAND(F.lit(_MASK))).alias(f"{name}__mid"),
-        F.sum(units.bitwiseAND(F.lit(_MASK))).alias(f"{name}__low"),
-        F.sum(x - units.cast("double") / F.lit(_UNITS)).alias(f"{name}__rest"),
-    ]
+def sum_parts(name: str) -> list[Column]:
+    """Aggregates whose total, by :func:`sum_total`, is the sum of a split column."""
+    return [F.expr(text.format(x=name)).alias(f"{name}__{part}") for part, text in _PARTS.items()]
 
 
 def sum_total(name: str) -> Column:
-    """The sum collected by :func:`sum_parts` as a double; 0.0 when there was nothing to sum."""
-    high, mid, low = (F.col(f"{name}__{part}") for part in ("high", "mid", "low"))
-    small = high * F.lit(1 << 2 * _BITS) + mid * F.lit(1 << _BITS) + low
-    large = (
-        high.cast("decimal(20,0)") * F.lit(1 << 2 * _BITS).cast("decimal(14,0)")
-        + mid.cast("decimal(20,0)") * F.lit(1 << _BITS).cast("decimal(8,0)")
-        + low.cast("decimal(20,0)")
-    ).cast("decimal(38,0)")
-    # Within 2**53 units one division gives the nearest double; beyond it decimals do.
-    fits = (F.abs(high) < (1 << 10)) & (F.abs(mid) < (1 << 31)) & (F.abs(low) < (1 << 52))
-    exact = F.when(fits, small.cast("double") / F.lit(_UNITS)).otherwise(
-        (large * F.lit("0.000001").cast("decimal(7,6)")).cast("double")
-    )
-    return F.coalesce(exact + F.col(f"{name}__rest"), F.lit(0.0))
+    """The sum of a split column as a double; 0.0 when there was nothing to sum."""
+    return F.expr(_TOTAL.format(x=name)).alias(name)

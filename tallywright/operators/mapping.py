@@ -8,29 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright import schema
-from tallywright.functions.similarity import alias_matcher, best_aliases
+from tallywright.functions.similarity import alias_matcher, best_aliases, matchers
 from tallywright.functions.text import normal_header
 
 
-def alias_scores(headers: DataFrame, domain: str = "sales") -> DataFrame:
-    """Every header with its closest alias of each field: adds ``field, score, alias_pos``.
+def alias_scores(vocabulary: DataFrame) -> DataFrame:
+    """Every ``(domain, header)`` with its closest alias of each field: ``field, score``.
 
-    The aliases are a fixed table held by the scoring function, so there is no join and no shuffle,
-    however often a header repeats. A column ``domain`` of the headers overrides the argument.
+    Scoring costs time per header, not per byte, so the rows are spread by count first.
     """
-    header = normal_header(F.col("column"))
+    spread = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_marketing = F.col("domain") == "marketing"
     match = {d: alias_matcher(schema.ALIASES[d]) for d in schema.DOMAINS}
-    if "domain" in headers.columns:
-        is_marketing = F.coalesce(F.col("domain") == "marketing", F.lit(False))
-        # A null header is not scored: each row costs one domain's aliases.
-        found = F.coalesce(
-            match["marketing"](F.when(is_marketing, header)),
-            match["sales"](F.when(~is_marketing, header)),
-        )
-    else:
-        found = match[schema.domain_of(domain)](header)
-    return headers.withColumn("_match", F.explode(found)).select(
-        *headers.columns, "_match.field", "_match.score", "_match.alias_pos"
+    # A null header is not scored: each row costs one domain's aliases.
+    found = F.coalesce(
+        match["marketing"](F.when(is_marketing, F.col("header"))),
+        match["sales"](F.when(~is_marketing, F.col("header"))),
+    )
+    return (
+        vocabulary.repartition(spread, "domain", "header")
+        .withColumn("_match", F.explode(found))
+        .select("domain", "header", "_match.field", "_match.score")
     )
 
 
@@ -40,8 +38,19 @@ def map_columns(headers: DataFrame, domain: str = "sales") -> DataFrame:
     ``headers`` is ``(file, col_pos, column[, domain])``; the result ``(file, field,
     source_column, score)`` has null where no header scores above 0.6. Among equal scores the first
     column wins. One file may give a column to two fields.
+
+    Files share most of their headers, so each distinct header is scored once and the scores are
+    joined back: broadcast where Spark finds them small, with hot headers split by AQE otherwise.
     """
-    scored = alias_scores(headers, domain)
+    chosen = F.col("domain") if "domain" in headers.columns else F.lit(domain)
+    known = F.when(chosen == "marketing", "marketing").otherwise("sales")
+    named = headers.where(F.col("column").isNotNull()).select(
+        "file", "col_pos", "column", known.alias("domain"),
+        normal_header(F.col("column")).alias("header"),
+    )
+    scored = named.join(
+        alias_scores(named.select("domain", "header").distinct()), ["domain", "header"]
+    )
     best = F.max(F.struct("score", (-F.col("col_pos")).alias("_first"), "column"))
     return (
         scored.groupBy("file", "field")
@@ -59,12 +68,12 @@ def map_columns(headers: DataFrame, domain: str = "sales") -> DataFrame:
 
 def suggest_mapping(columns: Sequence[str], domain: str = "sales") -> dict[str, str | None]:
     """Field -> column for the header of one table, at the API edge."""
-    mapping: dict[str, str | None] = {}
     aliases = schema.ALIASES[schema.domain_of(domain)]
-    best = {field: 0.0 for field in aliases}
-    mapping = dict.fromkeys(aliases)
+    prepared = matchers(aliases)
+    best = dict.fromkeys(aliases, 0.0)
+    mapping: dict[str, str | None] = dict.fromkeys(aliases)
     for column in columns:
-        for field, score, _ in best_aliases(column.lower().strip(), aliases):
+        for field, score, _ in best_aliases(column.lower().strip(), prepared):
             if score > best[field]:
                 best[field], mapping[field] = score, column
     return {f: c if best[f] > schema.MATCH_THRESHOLD else None for f, c in mapping.items()}

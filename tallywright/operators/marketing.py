@@ -8,52 +8,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.dates import month_key, month_number
-from tallywright.functions.numbers import ratio, round2, sum_parts, sum_total
+from tallywright.functions.numbers import ratio, round2, split_amounts, sum_parts, sum_total
 from tallywright.operators.sales import section_columns
 from tallywright.schema import MEASURES
 
 CAMPAIGN_MEASURES = ("spend", "clicks", "conversions", "revenue")
 TREND_MEASURES = ("spend", "revenue")
+# Presented as whole numbers.
+COUNTS = ("clicks", "impressions", "conversions")
+
+
+# Each ratio as numerator, denominator, factor.
+RATIOS = {
+    "ctr_percent": ("clicks", "impressions", 100),
+    "cpc": ("spend", "clicks", 1),
+    "cpa": ("spend", "conversions", 1),
+    "conversion_rate_percent": ("conversions", "clicks", 100),
+    "roas": ("revenue", "spend", 1),
+    "roi_percent": ("(revenue - spend)", "spend", 100),
+}
+
+
+def _split(facts: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    present = [m for m in measures if m in facts.columns]
+    return split_amounts(facts.select(*keys, *present), present)
 
 
 def _sums(facts: DataFrame, measures: Sequence[str]) -> list[Column]:
-    parts = [sum_parts(F.col(m), m) for m in measures if m in facts.columns]
-    return [c for group in parts for c in group]
+    return [c for m in measures if m in facts.columns for c in sum_parts(m)]
 
 
 def _total(facts: DataFrame, measure: str, absent: Column) -> Column:
     """A measure's total, or ``absent`` where the facts do not have the measure."""
-    value = sum_total(measure) if measure in facts.columns else absent.cast("double")
-    return value.alias(measure)
+    if measure in facts.columns:
+        return sum_total(measure)
+    return absent.cast("double").alias(measure)
 
 
-def roas(spend: Column, revenue: Column) -> Column:
-    return ratio(revenue, spend)
+def with_roas(df: DataFrame) -> DataFrame:
+    """Adds the rounded ROAS of rows with ``spend`` and ``revenue``."""
+    return (
+        df.withColumn("_ratio", F.expr(ratio(*RATIOS["roas"])))
+        .withColumn("roas", round2("_ratio"))
+        .drop("_ratio")
+    )
 
 
-def presented_totals() -> list[Column]:
-    """The report's totals and ratios, from columns named as the measures."""
-    spend, impressions, clicks, conversions, revenue = (F.col(m) for m in MEASURES)
-    return [
-        round2(spend).alias("total_spend"),
-        clicks.cast("bigint").alias("total_clicks"),
-        impressions.cast("bigint").alias("total_impressions"),
-        conversions.cast("bigint").alias("total_conversions"),
-        round2(revenue).alias("total_revenue"),
-        ratio(clicks, impressions, 100.0).alias("ctr_percent"),
-        ratio(spend, clicks).alias("cpc"),
-        ratio(spend, conversions).alias("cpa"),
-        ratio(conversions, clicks, 100.0).alias("conversion_rate_percent"),
-        roas(spend, revenue).alias("roas"),
-        ratio(revenue - spend, spend, 100.0).alias("roi_percent"),
-    ]
+def with_ratios(df: DataFrame) -> DataFrame:
+    """Adds all ratios, not rounded yet, to rows with the five measures."""
+    return df.withColumns({name: F.expr(ratio(*parts)) for name, parts in RATIOS.items()})
 
 
 def totals(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The five totals and six ratios; a measure the facts lack counts as 0."""
-    summed = facts.groupBy(*by).agg(*_sums(facts, MEASURES), F.count(F.lit(1)).alias("_rows"))
-    return summed.select(*by, *[_total(facts, m, F.lit(0.0)) for m in MEASURES]).select(
-        *by, *presented_totals()
+    rows = _split(facts, by, MEASURES)
+    summed = rows.groupBy(*by).agg(*_sums(facts, MEASURES), F.count(F.lit(1)).alias("_rows"))
+    measured = summed.select(*by, *[_total(facts, m, F.lit(0.0)) for m in MEASURES])
+    return with_ratios(measured).select(
+        *by,
+        round2("spend").alias("total_spend"),
+        *[F.expr(f"CAST({m} AS BIGINT)").alias(f"total_{m}") for m in COUNTS],
+        round2("revenue").alias("total_revenue"),
+        *[round2(name).alias(name) for name in RATIOS],
     )
 
 
@@ -62,18 +78,16 @@ def campaign_performance(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     A measure the facts lack is the number of rows of the campaign.
     """
-    summed = (
-        facts.where(F.col("campaign").isNotNull())
-        .groupBy(*by, "campaign")
-        .agg(*_sums(facts, CAMPAIGN_MEASURES), F.count("date").alias("_rows"))
+    rows = _split(
+        facts.where(F.col("campaign").isNotNull()), [*by, "campaign", "date"], CAMPAIGN_MEASURES
     )
-    return (
-        summed.select(
-            *by, "campaign", *[_total(facts, m, F.col("_rows")) for m in CAMPAIGN_MEASURES]
-        )
-        .withColumn("roas", roas(F.col("spend"), F.col("revenue")))
-        .orderBy(*by, F.desc_nulls_last("roas"), "campaign")
+    summed = rows.groupBy(*by, "campaign").agg(
+        *_sums(facts, CAMPAIGN_MEASURES), F.count("date").alias("_rows")
+    )
+    measured = summed.select(
+        *by, "campaign", *[_total(facts, m, F.col("_rows")) for m in CAMPAIGN_MEASURES]
     )
+    return with_roas(measured).orderBy(*by, F.desc_nulls_last("roas"), "campaign")
 
 
 def best_and_worst(campaign: Column, ratio_: Column) -> list[Column]:
@@ -95,9 +109,9 @@ def best_worst(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def monthly_trend(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Spend and revenue of the months that have rows; a measure the facts lack is their count."""
-    summed = (
-        facts.groupBy(*by, month_number(F.col("date")).alias("month"))
-        .agg(*_sums(facts, TREND_MEASURES), F.count("date").alias("_rows"))
+    rows = _split(facts, [*by, "date"], TREND_MEASURES)
+    summed = rows.groupBy(*by, month_number(F.col("date")).alias("month")).agg(
+        *_sums(facts, TREND_MEASURES), F.count("date").alias("_rows")
     )
     return summed.select(
         *by,
@@ -113,7 +127,8 @@ def entries(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     numbered = facts.withColumn("month", month_number(F.col("date")))
     keys = [k for k in ("month", "campaign") if k in numbered.columns]
-    grouped = numbered.groupingSets([list(by)] + [[*by, k] for k in keys], *by, *keys).agg(
+    rows = _split(numbered, [*by, *keys], MEASURES)
+    grouped = rows.groupingSets([list(by)] + [[*by, k] for k in keys], *by, *keys).agg(
         F.grouping_id().alias("_set"),
         *_sums(facts, MEASURES),
         F.count(F.lit(1)).alias("_rows"),

@@ -8,40 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.dates import month_key, month_number
-from tallywright.functions.numbers import round2, sum_parts, sum_total
+from tallywright.functions.numbers import round2, split_amounts, sum_parts, sum_total
 
 TOP = 5
 RANKED = ("product", "customer")
 SECTIONS = ("month", "product", "region", "customer")
 
 
-def growth(last: Column, previous: Column) -> Column:
-    """Percentage change, 0 where there was nothing to grow from."""
-    change = F.when(previous != 0, (last - previous) / previous * F.lit(100.0)).otherwise(0.0)
-    return F.when(previous.isNotNull(), round2(change))
+def growth(last: str, previous: str) -> str:
+    """Percentage change, 0 where there was nothing to grow from; not rounded yet."""
+    return (
+        f"CASE WHEN {previous} = 0 THEN 0D ELSE ({last} - {previous}) / {previous} * 100D END"
+    )
 
 
-def average(total: Column, n: Column) -> Column:
-    return F.when(n > 0, round2(total / n)).otherwise(0.0)
+def average(total: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {total} / {n} ELSE 0D END"
 
 
 def _revenue_by(facts: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    summed = facts.where(F.col(key).isNotNull()).groupBy(*by, key)
-    return summed.agg(*sum_parts(F.col("revenue"), "revenue")).select(
-        *by, key, sum_total("revenue").alias("revenue")
-    )
+    rows = facts.where(F.col(key).isNotNull()).select(*by, key, "revenue")
+    summed = split_amounts(rows, ["revenue"]).groupBy(*by, key).agg(*sum_parts("revenue"))
+    return summed.select(*by, key, sum_total("revenue"))
 
 
 def totals(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Revenue, number of rows and average row value."""
-    summed = facts.groupBy(*by).agg(
-        *sum_parts(F.col("revenue"), "revenue"), F.count(F.lit(1)).alias("total_orders")
-    )
-    return summed.select(*by, sum_total("revenue").alias("revenue"), "total_orders").select(
-        *by,
-        round2(F.col("revenue")).alias("total_revenue"),
-        "total_orders",
-        average(F.col("revenue"), F.col("total_orders")).alias("average_order_value"),
+    rows = split_amounts(facts.select(*by, "revenue"), ["revenue"])
+    summed = rows.groupBy(*by).agg(*sum_parts("revenue"), F.count(F.lit(1)).alias("total_orders"))
+    return (
+        summed.select(*by, sum_total("revenue"), "total_orders")
+        .withColumn("_average", F.expr(average("revenue", "total_orders")))
+        .select(
+            *by,
+            round2("revenue").alias("total_revenue"),
+            "total_orders",
+            round2("_average").alias("average_order_value"),
+        )
     )
 
 
@@ -59,14 +62,12 @@ def mom_growth(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     latest = Window.partitionBy(*by).orderBy(F.desc("month"))
     return (
         monthly_revenue(facts, by)
-        .select(
-            *by,
-            "month",
-            growth(F.col("revenue"), F.lead("revenue").over(latest)).alias("mom_growth_percent"),
-            F.row_number().over(latest).alias("_place"),
+        .withColumns(
+            {"_place": F.row_number().over(latest), "_before": F.lead("revenue").over(latest)}
         )
         .where("_place = 1")
-        .drop("_place")
+        .withColumn("_growth", F.expr(growth("revenue", "_before")))
+        .select(*by, "month", round2("_growth").alias("mom_growth_percent"))
     )
 
 
@@ -121,16 +122,16 @@ def breakdown(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     numbered = facts.withColumn("month", month_number(F.col("date")))
     keys = [k for k in SECTIONS if k in numbered.columns]
+    numbered = split_amounts(numbered.select(*by, *keys, "revenue"), ["revenue"])
     sets = [list(by)] + [[*by, k] for k in keys]
     grouped = numbered.groupingSets(sets, *by, *keys).agg(
         F.grouping_id().alias("_set"),
-        *sum_parts(F.col("revenue"), "revenue"),
+        *sum_parts("revenue"),
         F.count(F.lit(1)).alias("orders"),
     )
     section, key, keyed = section_columns(keys)
     return grouped.where(keyed).select(
-        *by, section.alias("section"), key.alias("key"), sum_total("revenue").alias("revenue"),
-        "orders",
+        *by, section.alias("section"), key.alias("key"), sum_total("revenue"), "orders"
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.functions.numbers import split_amounts, sum_parts, sum_total
 from tallywright.operators import (
     accounts, billing, coerce, mapping, marketing, prompts, sales, uploads,
 )
@@ -183,15 +184,13 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_orderkey") + F.col("l_linenumber")) % 16).alias("kind"), text.alias("cell")
     )
     number = coerce.as_number(F.col("cell"), cells.schema["cell"].dataType)
+    values = cells.select("kind", number.alias("value"))
+    filled = values.select("*", F.coalesce("value", F.lit(0.0)).alias("total"))
     return (
-        cells.select("kind", number.alias("value"))
+        split_amounts(filled, ["total"])
         .groupBy("kind")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("value").alias("ok"),
-            *marketing.sum_parts(F.coalesce("value", F.lit(0.0)), "total"),
-        )
-        .select("kind", "n", "ok", marketing.sum_total("total").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("ok"), *sum_parts("total"))
+        .select("kind", "n", "ok", sum_total("total"))
     )
 
 

@@ -17,9 +17,9 @@ from tallywright.plans.settle import positions, settle
 PART_SIZE = 10_000
 
 
-def presented(x: Column) -> Column:
-    """A rounded value with two places, which JSON writes without an exponent."""
-    return x.cast("decimal(38,2)")
+def presented(name: str) -> Column:
+    """A column rounded to two places, as a decimal that JSON writes without an exponent."""
+    return round2(name).cast("decimal(38,2)")
 
 
 def amount(x: Column) -> Column:
@@ -110,22 +110,22 @@ def sales_report(
         F.coalesce(_of_total(F.col("orders")), F.lit(0)).alias("orders"),
         *[c.alias(n) for n, c in lists.items()],
     )
-    trend = F.col("monthly_revenue_trend")
-    growth = F.when(
-        F.size(trend) >= 2,
-        sales.growth(
-            F.try_element_at(trend, F.lit(-1))["revenue"],
-            F.try_element_at(trend, F.lit(-2))["revenue"],
-        ),
-    )
+    gathered = gathered.withColumns(
+        {
+            "_average": F.expr(sales.average("revenue", "orders")),
+            "_last": F.expr("try_element_at(monthly_revenue_trend, -1).revenue"),
+            "_before": F.expr("try_element_at(monthly_revenue_trend, -2).revenue"),
+        }
+    ).withColumn("_growth", F.expr(sales.growth("_last", "_before")))
     sections = {
-        "total_revenue": presented(round2(revenue)),
+        "total_revenue": presented("revenue"),
         "total_orders": F.col("orders"),
-        "average_order_value": presented(sales.average(revenue, F.col("orders"))),
+        "average_order_value": presented("_average"),
         "monthly_revenue_trend": F.transform(
-            trend, lambda m: F.struct(m["date"].alias("date"), amount(m["revenue"]).alias("revenue"))
+            "monthly_revenue_trend",
+            lambda m: F.struct(m["date"].alias("date"), amount(m["revenue"]).alias("revenue")),
         ),
-        "mom_growth_percent": presented(growth),
+        "mom_growth_percent": presented("_growth"),
     }
     for section, column in (
         ("top_products", "product"), ("region_wise_sales", "region"), ("top_customers", "customer"),
@@ -149,10 +149,9 @@ def marketing_report(
     """
     facts = coerce.marketing_facts(df, by, formats)
     with_campaigns = "campaign" in facts.columns and "campaign" not in by
-    campaign_roas = F.when(
-        F.col("section") == "campaign", marketing.roas(F.col("spend"), F.col("revenue"))
+    entries = marketing.with_roas(marketing.entries(facts, by)).withColumn(
+        "roas", F.when(F.col("section") == "campaign", F.col("roas"))
     )
-    entries = marketing.entries(facts, by).withColumn("roas", campaign_roas)
     falling = [F.desc_nulls_last("roas"), F.col("key")]
     entries, groups = _in_parts(entries, by, "campaign", falling, part_size)
     key, roas = F.col("key"), F.col("roas")
@@ -166,7 +165,7 @@ def marketing_report(
                 "clicks": amount(F.col("clicks")),
                 "conversions": amount(F.col("conversions")),
                 "revenue": amount(F.col("revenue")),
-                "roas": presented(roas),
+                "roas": roas.cast("decimal(38,2)"),
             },
         ),
         "monthly_trend": _list(
@@ -186,14 +185,12 @@ def marketing_report(
     )
     if "part" in groups:
         gathered = _best_and_worst_of_all(gathered, entries, by)
-    totals = marketing.presented_totals()
-    counts = {"total_clicks", "total_impressions", "total_conversions"}
-    names = [
-        "total_spend", "total_clicks", "total_impressions", "total_conversions", "total_revenue",
-        "ctr_percent", "cpc", "cpa", "conversion_rate_percent", "roas", "roi_percent",
-    ]
+    gathered = marketing.with_ratios(gathered)
     sections = {
-        n: c if n in counts else presented(c) for n, c in zip(names, totals, strict=True)
+        "total_spend": presented("spend"),
+        **{f"total_{m}": F.col(m).cast("bigint") for m in marketing.COUNTS},
+        "total_revenue": presented("revenue"),
+        **{name: presented(name) for name in marketing.RATIOS},
     }
     if with_campaigns:
         for name in ("campaign_performance", "best_campaign", "worst_campaign"):
