@@ -15,7 +15,9 @@ from tallywright.functions.text import normal_header
 def alias_scores(vocabulary: DataFrame) -> DataFrame:
     """Every ``(domain, header)`` with its closest alias of each field: ``field, score``.
 
-    Scoring costs time per header, not per byte, so the rows are spread by count first.
+    Scoring costs time per header, not per byte, so the rows are spread evenly first: on a hash, as
+    a repartition by the columns themselves would be dropped after a distinct, and its small
+    partitions merged again by size.
     """
     spread = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_marketing = F.col("domain") == "marketing"
@@ -26,7 +28,7 @@ def alias_scores(vocabulary: DataFrame) -> DataFrame:
         match["sales"](F.when(~is_marketing, F.col("header"))),
     )
     return (
-        vocabulary.repartition(spread, "domain", "header")
+        vocabulary.repartition(spread, F.xxhash64("domain", "header"))
         .withColumn("_match", F.explode(found))
         .select("domain", "header", "_match.field", "_match.score")
     )

@@ -146,7 +146,8 @@ REPLY = T.StructType(
 
 def plan_table(spark: SparkSession) -> DataFrame:
     """The two-row price table, small by construction and so safe to broadcast."""
-    return spark.createDataFrame(list(PLANS), "plan STRING, amount INT, cycles INT")
+    rows = ", ".join(f"('{plan}', {amount}, {cycles})" for plan, amount, cycles in PLANS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS plans(plan, amount, cycles)")
 
 
 def domain_of(name: str | None) -> str:
