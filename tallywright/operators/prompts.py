@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tallywright import schema
 from tallywright.functions.text import clean_reply
 
+_JSON_STRING = (
+    r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+)
+
 
 def _by_domain(values: dict[str, str]) -> Column:
     return F.when(F.col("domain") == "marketing", values["marketing"]).otherwise(values["sales"])
@@ -78,6 +82,21 @@ def chat_messages(prompts: DataFrame, history: DataFrame, conversation: str) ->
     )
 
 
+def is_json(text: Column) -> Column:
+    """The text is one JSON value and nothing else.
+
+    The JSON functions stop reading after the first value. Inside a list and inside an object that
+    value must be followed by the closing bracket, so text after it is noticed. They also pass over
+    strings in single quotes, with bare control characters or with unknown escapes, so once the
+    proper strings are taken out no quote may be left.
+    """
+    listed = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.json_object_keys(F.concat(F.lit('{"value":'), text, F.lit("}")))
+    left = F.regexp_replace(text, _JSON_STRING, "")
+    valid = (listed == 1) & named.isNotNull() & ~left.rlike("[\"']")
+    return F.coalesce(valid, F.lit(False))
+
+
 def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``summary, problems, recommendations, parsed`` to stored replies.
 
@@ -85,7 +104,7 @@ def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     missing, and ``parsed`` is true beside the raw text.
     """
     cleaned = clean_reply(F.col(raw))
-    parsed = F.try_parse_json(cleaned).isNotNull()
+    parsed = is_json(cleaned)
     body = F.from_json(cleaned, schema.REPLY)
     plain = F.struct(
         F.col(raw).alias("summary"),

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from tallywright import schema
 from tallywright.operators import prompts
 
@@ -69,3 +67,25 @@ def test_replies(spark):
     for k in ("prose", "blank", "cut"):
         assert not got[k].parsed
         assert (got[k].summary, got[k].problems, got[k].recommendations) == (raws[k], [], [])
+
+
+def test_replies_are_json_exactly_when_the_standard_library_says_so(spark):
+    texts = [
+        '{"summary":"x"} and more', '{"summary":"x"}{"summary":"y"}', "{'summary':'x'}",
+        """{'a"b': 'c"d'}""", """{"a": "it's \\\\", "b": "'"}""", '{"a": "%s"}' % ("x'\\n" * 50_000),
+        '{"summary":"a\nb"}', '{"summary":"x",}', "null", '"text"', "12", "1, 2", "1], [2",
+        '{"a": "x\\q"}', '{"a": "\\u12"}', '{"a": "\t"}', '{\t"a": 1\n}', '{"a": "\\/\\b"}',
+        '1}, {"value":2', '1, "k": 2', "01", "true", "[]", "{}", "", "]", '{"a":1e999}', "tru",
+        '{"summary":"x","summary":"y"}', '{"summary":"\\u00e9"}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "raw STRING")
+    got = {r.raw: r for r in prompts.parse_replies(df).collect()}
+    for text in texts:
+        try:
+            json.loads(text)
+            want = True
+        except json.JSONDecodeError:
+            want = False
+        assert got[text].parsed == want, text
+    assert got['{"summary":"x","summary":"y"}'].summary == "y"
+    assert got['{"summary":"\\u00e9"}'].summary == "\u00e9"
