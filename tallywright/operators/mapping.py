@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywright import schema
 from tallywright.functions.similarity import alias_matcher, best_aliases, matchers
 from tallywright.functions.text import normal_header
+from tallywright.operators.settle import settle
 
 
 def alias_scores(vocabulary: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def map_columns(headers: DataFrame, domain: str = "sales") -> DataFrame:
     """The best source column of every field of every file.
 
     ``headers`` is ``(file, col_pos, column[, domain])``; the result ``(file, field,
-    source_column, score)`` has null where no header scores above 0.6. Among equal scores the first
+    source_column, col_pos, score)`` has nulls where no header scores above 0.6. Among equal scores the first
     column wins. One file may give a column to two fields.
 
     Files share most of their headers, so each distinct header is scored once and the scores are
@@ -54,15 +55,15 @@ def map_columns(headers: DataFrame, domain: str = "sales") -> DataFrame:
         alias_scores(named.select("domain", "header").distinct()), ["domain", "header"]
     )
     best = F.max(F.struct("score", (-F.col("col_pos")).alias("_first"), "column"))
+    found = F.col("_best.score") > schema.MATCH_THRESHOLD
     return (
         scored.groupBy("file", "field")
         .agg(best.alias("_best"))
         .select(
             "file",
             "field",
-            F.when(F.col("_best.score") > schema.MATCH_THRESHOLD, F.col("_best.column")).alias(
-                "source_column"
-            ),
+            F.when(found, F.col("_best.column")).alias("source_column"),
+            F.when(found, -F.col("_best._first")).alias("col_pos"),
             F.col("_best.score").alias("score"),
         )
     )
@@ -81,20 +82,43 @@ def suggest_mapping(columns: Sequence[str], domain: str = "sales") -> dict[str,
     return {f: c if best[f] > schema.MATCH_THRESHOLD else None for f, c in mapping.items()}
 
 
-def standard_columns(rows: DataFrame, mapping: DataFrame, domain: str = "sales") -> DataFrame:
+def standard_columns(
+    rows: DataFrame, mapping: DataFrame, domain: str = "sales", broadcast_files: int = 200_000
+) -> DataFrame:
     """Rows of many files with different headers as one table of the domain's fields.
 
     ``rows`` is ``(file, cells ARRAY<STRING>, ...)``, ``mapping`` ``(file, field, col_pos)`` with
-    positions from 0. The mapping is turned to one row per file, so the rows are joined once, and a
-    file of any size meets one small row; AQE broadcasts or splits as sizes turn out.
+    positions from 0. The mapping becomes one small row per file with a ``layout``, the names of the
+    fields the file has; files that lack a required field are left out. Up to ``broadcast_files``
+    files that table is broadcast, so that the rows are not shuffled; beyond, Spark joins by size
+    and splits hot files.
     """
-    fields = tuple(schema.ALIASES[schema.domain_of(domain)])
-    places = mapping.groupBy("file").agg(
+    domain = schema.domain_of(domain)
+    fields = tuple(schema.ALIASES[domain])
+    placed = mapping.where(F.col("col_pos").isNotNull())
+    places = placed.groupBy("file").agg(
         *[F.max(F.when(F.col("field") == f, F.col("col_pos"))).alias(f"_{f}") for f in fields]
     )
+    for required in schema.REQUIRED[domain]:
+        places = places.where(F.col(f"_{required}").isNotNull())
+    layout = F.concat_ws(",", *[F.when(F.col(f"_{f}").isNotNull(), f) for f in fields])
+    places = settle(places.withColumn("layout", layout))
+    if places.count() <= broadcast_files:
+        places = F.broadcast(places)
     others = [c for c in rows.columns if c not in ("file", "cells")]
     return rows.join(places, "file").select(
         "file",
+        "layout",
         *others,
-        *[F.get(F.col("cells"), F.col(f"_{f}")).alias(f) for f in fields],
+        *[F.get(F.col("cells"), F.col(f"_{f}").cast("int")).alias(f) for f in fields],
+    )
+
+
+def unusable_files(mapping: DataFrame, domain: str = "sales") -> DataFrame:
+    """Files without a column for a required field, with the fields they lack."""
+    required = schema.REQUIRED[schema.domain_of(domain)]
+    return (
+        mapping.where(F.col("field").isin(*required) & F.col("col_pos").isNull())
+        .groupBy("file")
+        .agg(F.sort_array(F.collect_list("field")).alias("missing"))
     )

@@ -309,10 +309,11 @@ blocks AS (
         WHERE best.k > 0)),
 scores AS (SELECT a, b, 2.0::DOUBLE * sum(size) / (length(a) + length(b)) AS score
     FROM blocks GROUP BY a, b),
-ranked AS (SELECT file, field, col, score, row_number() OVER (PARTITION BY file, field
+ranked AS (SELECT file, field, col, col_pos, score, row_number() OVER (PARTITION BY file, field
         ORDER BY score DESC, col_pos, alias_pos) AS place
     FROM headers JOIN aliases USING (domain) JOIN scores ON lower(trim(col)) = a AND alias = b)
-SELECT file, field, CASE WHEN score > 0.6::DOUBLE THEN col END AS source_column, score
+SELECT file, field, CASE WHEN score > 0.6::DOUBLE THEN col END AS source_column,
+    CASE WHEN score > 0.6::DOUBLE THEN col_pos END AS col_pos, score
 FROM ranked WHERE place = 1"""
 SQL["mapped_files"] = f"""WITH f AS (SELECT l_returnflag AS file, l_shipdate AS date,
     CAST(l_extendedprice AS DECIMAL(14,2)) AS revenue, l_linestatus AS product FROM lineitem)

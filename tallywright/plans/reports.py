@@ -11,7 +11,7 @@ from tallywright import schema
 from tallywright.functions.dates import utc_stamp
 from tallywright.functions.numbers import round2
 from tallywright.operators import coerce, marketing, sales
-from tallywright.plans.settle import positions, settle
+from tallywright.operators.settle import positions, settle
 
 # Longest list of regions or campaigns in one report row; longer lists go on in further rows.
 PART_SIZE = 10_000

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright import schema
 from tallywright.operators.coerce import drop_na_tokens
+from tallywright.operators.settle import settle
 
 # Files up to this size are read whole by one task each; larger ones are split where possible.
 WHOLE_FILE_BYTES = 512 * 1024 * 1024
@@ -25,11 +26,30 @@ def check_format(path: str) -> str:
     raise ValueError("only CSV or Excel files are supported")
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether a cell may span lines: some line has an odd number of quotes."""
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file from a pass over its lines: ``(file, header, commas, open_quotes)``.
+
+    ``header`` is the first line, ``commas`` the most in a line, and ``open_quotes`` tells whether
+    a line has an odd number of quotes, so that a cell may go on in the next one.
+    """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+
+    def count(mark: str):
+        return F.length("value") - F.length(F.replace(F.col("value"), F.lit(mark), F.lit("")))
+
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    return (
+        lines.select(
+            F.col("_metadata.file_path").alias("file"), "value", place.alias("place"),
+            count(",").alias("commas"), (count('"') % 2 == 1).alias("open_quotes"),
+        )
+        .groupBy("file")
+        .agg(
+            F.min_by("value", "place").alias("header"),
+            F.max("commas").alias("commas"),
+            F.bool_or("open_quotes").alias("open_quotes"),
+        )
+    )
 
 
 def largest_file(spark: SparkSession, path: str) -> int:
@@ -38,6 +58,10 @@ def largest_file(spark: SparkSession, path: str) -> int:
     return files.agg(F.max("length")).first()[0] or 0
 
 
+def _options(multiline: bool) -> dict:
+    return {"header": True, "multiLine": multiline, "escape": '"', "pathGlobFilter": "*.csv"}
+
+
 def read_upload(
     spark: SparkSession,
     path: str,
@@ -51,13 +75,43 @@ def read_upload(
     a file without any is split. Files whose header differs from the first one's raise an error.
     """
     check_format(path)
-    multiline = largest_file(spark, path) <= whole_file_bytes or has_quoted_newlines(spark, path)
-    options = {"header": True, "multiLine": multiline, "escape": '"', "pathGlobFilter": "*.csv"}
+    multiline = largest_file(spark, path) <= whole_file_bytes or (
+        not scan_lines(spark, path).where("open_quotes").isEmpty()
+    )
+    options = _options(multiline)
     header = spark.read.options(**options).csv(path).schema
     checked = spark.read.options(enforceSchema=False, **options).schema(header)
     return drop_na_tokens(checked.csv(path), na_tokens)
 
 
+def read_uploads(
+    spark: SparkSession, path: str, na_tokens: tuple[str, ...] = schema.NA_TOKENS
+) -> tuple[DataFrame, DataFrame]:
+    """Read a folder of CSV files, each with a header of its own.
+
+    Gives ``(file, col_pos, column)`` for the headers and ``(file, cells)`` for the rows. One pass
+    over the lines finds the headers, the widest file and whether any cell spans lines; without
+    such cells files of any size are split between tasks.
+    """
+    check_format(path)
+    found = settle(scan_lines(spark, path))
+    about = found.agg(
+        F.max("commas").alias("commas"), F.bool_or("open_quotes").alias("open_quotes")
+    ).first()
+    names = [f"c{i}" for i in range((about.commas or 0) + 1)]
+    wide = ", ".join(f"{n} STRING" for n in names)
+    header = F.from_csv(F.col("header"), F.lit(wide), {"escape": '"'})
+    headers = found.select("file", header.alias("h")).select(
+        "file", F.posexplode(F.array(*[f"h.{n}" for n in names])).alias("col_pos", "column")
+    )
+    rows = spark.read.schema(wide).options(**_options(bool(about.open_quotes))).csv(path)
+    cells = drop_na_tokens(rows.select("*", F.col("_metadata.file_path").alias("_file")), na_tokens)
+    return (
+        headers.where(F.col("column").isNotNull()),
+        cells.select(F.col("_file").alias("file"), F.array(*names).alias("cells")),
+    )
+
+
 def read_users(spark: SparkSession, url: str, partitions: int = 1, **options: str) -> DataFrame:
     """The account table through JDBC, without the password hashes.
 

@@ -3,7 +3,9 @@ import json
 import pytest
 
 from tallywright.operators import coerce
+from tallywright.operators.mapping import unusable_files
 from tallywright.plans import reports
+from tallywright.plans.intake import reports_of_uploads, store_uploads
 from tallywright.sources import files
 
 
@@ -39,8 +41,8 @@ def test_upload_to_report_and_back(spark, tmp_path):
 def test_large_files_are_split_only_without_open_quotes(spark, tmp_path):
     plain = write(tmp_path, "plain.csv", 'a,b\n1,"x"\n2,y\n')
     broken = write(tmp_path, "broken.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    assert not files.has_quoted_newlines(spark, plain)
-    assert files.has_quoted_newlines(spark, broken)
+    assert not files.scan_lines(spark, plain).first().open_quotes
+    assert files.scan_lines(spark, broken).first().open_quotes
     for path in (plain, broken):
         small = files.read_upload(spark, path).collect()
         assert len(small) == 2
@@ -67,3 +69,46 @@ def test_other_formats_are_refused(spark, name):
 def test_facts_keep_the_wanted_columns_only(spark, tmp_path):
     path = write(tmp_path, "m.csv", "date,spend,junk\n2024-01-01,5,j\n")
     assert coerce.marketing_facts(files.read_upload(spark, path)).columns == ["date", "spend"]
+
+
+def test_folder_of_different_files_to_reports(spark, tmp_path):
+    folder = tmp_path / "uploads"
+    folder.mkdir()
+    write(folder, "a.csv", 'Order Date,Amt,Revenue,City\n2024-01-05,1,10.5,"Paris, FR"\n2024-02-05,1,20,NA\n')
+    write(folder, "b.csv", 'sku,revenue,order date\nx,5,2024-03-01\ny,"7",2024-03-02\nx,1,never\n')
+    write(folder, "c.csv", "note,date\nhello,2024-01-01\n")
+    write(folder, "d.csv", 'Order Date,Sales,Comment\n2024-01-05,3,"two\nlines, here"\n')
+    stored = str(tmp_path / "stored")
+    mapping = store_uploads(spark, str(folder), stored)
+    lost = {r.file.rsplit("/", 1)[1]: r.missing for r in unusable_files(mapping).collect()}
+    assert lost == {"c.csv": ["revenue"]}
+    got = {
+        r.file.rsplit("/", 1)[1]: json.loads(r.report_json)
+        for r in reports_of_uploads(spark, stored, stamp=False).collect()
+    }
+    assert set(got) == {"a.csv", "b.csv", "d.csv"}
+    assert got["a.csv"]["total_revenue"] == 30.5
+    assert got["a.csv"]["region_wise_sales"] == [{"region": "Paris, FR", "revenue": 10.5}]
+    assert "top_products" not in got["a.csv"]
+    assert got["b.csv"]["total_orders"] == 2
+    assert got["b.csv"]["top_products"] == [
+        {"product": "y", "revenue": 7.0}, {"product": "x", "revenue": 5.0},
+    ]
+    assert "region_wise_sales" not in got["b.csv"]
+    assert got["d.csv"]["total_revenue"] == 3.0
+
+
+def test_many_marketing_files_count_what_they_lack(spark, tmp_path):
+    folder = tmp_path / "uploads"
+    folder.mkdir()
+    write(folder, "full.csv", "day,campaign,cost,clicks,revenue\n2024-01-05,c,2,4,5\n2024-01-06,c,2,4,5\n")
+    write(folder, "short.csv", "day,campaign,cost,revenue\n2024-01-05,c,2,5\n2024-01-06,c,2,5\n")
+    stored = str(tmp_path / "stored")
+    store_uploads(spark, str(folder), stored, "marketing")
+    got = {
+        r.file.rsplit("/", 1)[1]: json.loads(r.report_json)["campaign_performance"][0]
+        for r in reports_of_uploads(spark, stored, "marketing").collect()
+    }
+    assert got["full.csv"]["clicks"] == 8 and got["short.csv"]["clicks"] == 2
+    assert got["full.csv"]["conversions"] == got["short.csv"]["conversions"] == 2
+    assert got["full.csv"]["roas"] == got["short.csv"]["roas"] == 2.5

@@ -119,20 +119,25 @@ def test_one_header_may_win_two_fields():
 
 def test_standard_columns(spark):
     rows = spark.createDataFrame(
-        [("a", ["2024-01-01", "5"]), ("b", ["9", "x", "2024-02-02"]), ("b", ["8"])],
+        [("a", ["2024-01-01", "5"]), ("b", ["9", "x", "2024-02-02"]), ("b", ["8"]),
+         ("c", ["2024-01-01"])],
         "file STRING, cells ARRAY<STRING>",
     )
     places = spark.createDataFrame(
         [("a", "date", 0), ("a", "revenue", 1), ("b", "date", 2), ("b", "revenue", 0),
-         ("b", "region", 1)],
+         ("b", "region", 1), ("c", "date", 0), ("c", "revenue", None)],
         "file STRING, field STRING, col_pos INT",
     )
     got = mapping.standard_columns(rows, places)
-    assert got.columns == ["file", *schema.ALIASES["sales"]]
-    found = {(r.file, r.date, r.revenue, r.region) for r in got.collect()}
-    assert found == {
-        ("a", "2024-01-01", "5", None), ("b", "2024-02-02", "9", "x"), ("b", None, "8", None),
+    assert got.columns == ["file", "layout", *schema.ALIASES["sales"]]
+    want = {
+        ("a", "date,revenue", "2024-01-01", "5", None),
+        ("b", "date,revenue,region", "2024-02-02", "9", "x"),
+        ("b", "date,revenue,region", None, "8", None),
     }
+    for limit in (0, 100):
+        made = mapping.standard_columns(rows, places, broadcast_files=limit).collect()
+        assert {(r.file, r.layout, r.date, r.revenue, r.region) for r in made} == want
 
 
 @pytest.mark.parametrize("domain", ["sales", "marketing"])

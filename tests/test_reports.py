@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.plans import reports
-from tallywright.plans.settle import positions
+from tallywright.operators.settle import positions
 from tests import brute
 
 SALES_TYPE = (
