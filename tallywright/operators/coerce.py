@@ -83,10 +83,21 @@ def require_columns(df: DataFrame, domain: str) -> None:
             raise ValueError(f"{field} column is required for {domain} analysis")
 
 
+# Names the operators give to columns of their own.
+RESERVED = {"date", "month", "section", "key", "part", "orders", *schema.MEASURES}
+
+
+def check_tenant_columns(by: Sequence[str]) -> None:
+    clash = sorted(RESERVED & set(by))
+    if clash:
+        raise ValueError(f"rename the tenant columns {clash}: the reports use these names")
+
+
 def sales_facts(
     df: DataFrame, by: Sequence[str] = (), formats: Sequence[str] = ()
 ) -> DataFrame:
     """Typed sales rows; rows without a usable date or revenue are dropped."""
+    check_tenant_columns(by)
     require_columns(df, "sales")
     kinds = {f.name: f.dataType for f in df.schema}
     columns = [F.col(c) for c in by]
@@ -107,6 +118,7 @@ def marketing_facts(
     df: DataFrame, by: Sequence[str] = (), formats: Sequence[str] = (), spend_required: bool = False
 ) -> DataFrame:
     """Typed marketing rows; rows without a date are dropped, unusable measures count as 0."""
+    check_tenant_columns(by)
     if spend_required:
         require_columns(df, "marketing")
     elif "date" not in df.columns:

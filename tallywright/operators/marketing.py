@@ -126,7 +126,7 @@ def entries(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     In the section ``total`` a measure the facts lack is 0, in the others the number of rows.
     """
     numbered = facts.withColumn("month", month_number(F.col("date")))
-    keys = [k for k in ("month", "campaign") if k in numbered.columns]
+    keys = [k for k in ("month", "campaign") if k in numbered.columns and k not in by]
     rows = _split(numbered, [*by, *keys], MEASURES)
     grouped = rows.groupingSets([list(by)] + [[*by, k] for k in keys], *by, *keys).agg(
         F.grouping_id().alias("_set"),

@@ -121,7 +121,7 @@ def breakdown(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     without a key are left out of that section only.
     """
     numbered = facts.withColumn("month", month_number(F.col("date")))
-    keys = [k for k in SECTIONS if k in numbered.columns]
+    keys = [k for k in SECTIONS if k in numbered.columns and k not in by]
     numbered = split_amounts(numbered.select(*by, *keys, "revenue"), ["revenue"])
     sets = [list(by)] + [[*by, k] for k in keys]
     grouped = numbered.groupingSets(sets, *by, *keys).agg(

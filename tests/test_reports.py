@@ -128,6 +128,19 @@ def test_marketing_without_optional_columns(spark, absent):
     )
 
 
+def test_a_field_as_tenant(spark):
+    rows = sales_rows(6, 400)
+    df = spark.createDataFrame(rows, SALES_TYPE).drop("tenant")
+    made = reports.report_json(reports.sales_report(df, ("region",), stamp=False), ("region",))
+    fields = [f for f in names(SALES_TYPE) if f != "region"]
+    for r in made.collect():
+        mine = [x for x in cut(rows, SALES_TYPE) if x["region"] == r.region]
+        if any(x["date"] and x["revenue"] is not None for x in mine):
+            assert json.loads(r.report_json) == brute.sales(mine, fields)
+    with pytest.raises(ValueError, match="month"):
+        reports.sales_report(df.withColumn("month", F.lit(1)), ("month",))
+
+
 def test_reports_of_nothing(spark):
     empty = spark.createDataFrame([], SALES_TYPE)
     assert documents(reports.sales_report(empty.drop("tenant")))[None] == brute.sales(
