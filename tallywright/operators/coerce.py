@@ -93,6 +93,26 @@ def check_tenant_columns(by: Sequence[str]) -> None:
         raise ValueError(f"rename the tenant columns {clash}: the reports use these names")
 
 
+def _parse(
+    df: DataFrame, kept: Sequence[Column], parsed: dict[str, Column], from_text: bool
+) -> DataFrame:
+    """Select kept and parsed columns and drop the rows where a parsed one is null.
+
+    A filter on an expression is evaluated below the projection and so once more than needed, which
+    for typed columns is free and lets ``IS NOT NULL`` reach the parquet scan. Parsing text costs
+    more than the rest of the scan, so there a generator of one row keeps the filter above it.
+    """
+    values = [c.alias(name) for name, c in parsed.items()]
+    if from_text:
+        typed = df.select(*kept, F.inline(F.array(F.struct(*values))))
+    else:
+        typed = df.select(*kept, *values)
+    complete = F.lit(True)
+    for name in parsed:
+        complete = complete & F.col(name).isNotNull()
+    return typed.where(complete)
+
+
 def sales_facts(
     df: DataFrame, by: Sequence[str] = (), formats: Sequence[str] = ()
 ) -> DataFrame:
@@ -100,18 +120,17 @@ def sales_facts(
     check_tenant_columns(by)
     require_columns(df, "sales")
     kinds = {f.name: f.dataType for f in df.schema}
-    columns = [F.col(c) for c in by]
-    columns += [
-        as_moment(F.col("date"), kinds["date"], formats).alias("date"),
-        as_number(F.col("revenue"), kinds["revenue"]).alias("revenue"),
-    ]
+    kept = [F.col(c) for c in by]
     for c in ("product", "region", "customer"):
         if c in df.columns and c not in by:
-            columns.append(F.col(c).cast("string").alias(c))
-    if "quantity" in df.columns:
-        columns.append(as_number(F.col("quantity"), kinds["quantity"]).alias("quantity"))
-    # isNotNull, unlike na.drop, reaches the parquet scan where the source is typed already.
-    return df.select(*columns).where(F.col("date").isNotNull() & F.col("revenue").isNotNull())
+            kept.append(F.col(c).cast("string").alias(c))
+    if "quantity" in df.columns and "quantity" not in by:
+        kept.append(as_number(F.col("quantity"), kinds["quantity"]).alias("quantity"))
+    parsed = {
+        "date": as_moment(F.col("date"), kinds["date"], formats),
+        "revenue": as_number(F.col("revenue"), kinds["revenue"]),
+    }
+    return _parse(df, kept, parsed, T.StringType() in (kinds["date"], kinds["revenue"]))
 
 
 def marketing_facts(
@@ -124,11 +143,11 @@ def marketing_facts(
     elif "date" not in df.columns:
         raise ValueError("date column is required for marketing analysis")
     kinds = {f.name: f.dataType for f in df.schema}
-    columns = [F.col(c) for c in by]
-    columns.append(as_moment(F.col("date"), kinds["date"], formats).alias("date"))
+    kept = [F.col(c) for c in by]
     if "campaign" in df.columns and "campaign" not in by:
-        columns.append(F.col("campaign").cast("string").alias("campaign"))
+        kept.append(F.col("campaign").cast("string").alias("campaign"))
     for m in schema.MEASURES:
         if m in df.columns:
-            columns.append(F.coalesce(as_number(F.col(m), kinds[m]), F.lit(0.0)).alias(m))
-    return df.select(*columns).where(F.col("date").isNotNull())
+            kept.append(F.coalesce(as_number(F.col(m), kinds[m]), F.lit(0.0)).alias(m))
+    parsed = {"date": as_moment(F.col("date"), kinds["date"], formats)}
+    return _parse(df, kept, parsed, kinds["date"] == T.StringType())

@@ -68,7 +68,7 @@ def test_other_formats_are_refused(spark, name):
 
 def test_facts_keep_the_wanted_columns_only(spark, tmp_path):
     path = write(tmp_path, "m.csv", "date,spend,junk\n2024-01-01,5,j\n")
-    assert coerce.marketing_facts(files.read_upload(spark, path)).columns == ["date", "spend"]
+    assert set(coerce.marketing_facts(files.read_upload(spark, path)).columns) == {"date", "spend"}
 
 
 def test_folder_of_different_files_to_reports(spark, tmp_path):
