@@ -61,7 +61,8 @@ def rename_by_mapping(df: DataFrame, mapping: Mapping[str, str | None]) -> DataF
 
     ``mapping`` is field -> source column; fields without a source are skipped, and so are sources
     the table does not have. A source chosen for two fields is copied. Taking a name that another
-    column keeps raises ``ValueError``.
+    column keeps raises ``ValueError``; a column whose name differs in case only is left out, as
+    Spark could not tell the two apart.
     """
     chosen = {f: s for f, s in mapping.items() if s and s in df.columns}
     sources = set(chosen.values())
@@ -69,8 +70,11 @@ def rename_by_mapping(df: DataFrame, mapping: Mapping[str, str | None]) -> DataF
     clash = sorted(set(kept) & set(chosen))
     if clash:
         raise ValueError(f"columns {clash} exist already and are not part of the mapping")
+    taken = {f.lower() for f in chosen}
     columns = []
     for c in df.columns:
+        if c in kept and c.lower() in taken:
+            continue
         names = [f for f, s in chosen.items() if s == c] or [c]
         columns += [F.col(f"`{c}`").alias(name) for name in names]
     return df.select(*columns)

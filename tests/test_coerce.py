@@ -71,6 +71,9 @@ def test_rename(spark):
     assert tuple(renamed.first()) == (1, 2, 2, 3)
     with pytest.raises(ValueError, match="revenue"):
         coerce.rename_by_mapping(df, {"revenue": "amt"})
+    cased = spark.sql("SELECT 1 Revenue, 2 amt, 3 other")
+    assert coerce.rename_by_mapping(cased, {"revenue": "amt"}).columns == ["revenue", "other"]
+    assert coerce.rename_by_mapping(cased, {"revenue": "amt"}).select("revenue").first()[0] == 2
     swapped = coerce.rename_by_mapping(df, {"revenue": "amt", "other": "revenue", "z": "other"})
     assert swapped.columns == ["Order Date", "revenue", "z", "other"]
 

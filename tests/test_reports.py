@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.plans import reports
+from tallywright.operators import coerce, marketing, sales
 from tallywright.operators.settle import positions
+from tallywright.plans import reports
 from tests import brute
 
 SALES_TYPE = (
@@ -214,3 +215,67 @@ def test_positions(spark):
         placed = sorted((r for r in got if r.g == g), key=lambda r: r.position)
         assert [r.position for r in placed] == list(range(len(ranked)))
         assert [(r.g, r.v, r.k) for r in placed] == ranked
+
+
+def test_report_does_not_depend_on_order_or_partitions(spark):
+    rows = sales_rows(9, 1500)
+    made = set()
+    for n, seed in ((1, 1), (5, 2), (13, 3)):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        df = spark.createDataFrame(mixed, SALES_TYPE).repartition(n)
+        report = reports.report_json(reports.sales_report(df, ("tenant",), stamp=False), ("tenant",))
+        made.add(tuple(sorted(map(tuple, report.collect()))))
+    assert len(made) == 1
+
+
+def test_breakdowns_add_up(spark):
+    rows = [r for r in sales_rows(10, 800) if None not in r]
+    df = spark.createDataFrame(rows, SALES_TYPE)
+    facts = coerce.sales_facts(df, ("tenant",))
+    for by in ((), ("tenant",)):
+        sums = (
+            sales.breakdown(facts, by)
+            .groupBy(*by, "section")
+            .agg(F.round(F.sum("revenue"), 6).alias("revenue"), F.sum("orders").alias("orders"))
+        )
+        whole = sums.groupBy(*by).agg(
+            F.count_distinct("revenue").alias("r"), F.count_distinct("orders").alias("o"),
+            F.count("section").alias("n"),
+        )
+        assert {(r.r, r.o, r.n) for r in whole.collect()} == {(1, 1, 5)}
+
+
+def test_single_operators_agree_with_the_report(spark):
+    rows = campaign_rows(11, 600)
+    facts = coerce.marketing_facts(spark.createDataFrame(rows, CAMPAIGN_TYPE).drop("tenant"))
+    want = brute.marketing(cut(rows, CAMPAIGN_TYPE), names(CAMPAIGN_TYPE))
+    totals = marketing.totals(facts).first().asDict()
+    assert totals == {k: want[k] for k in totals}
+    performance = [r.asDict() for r in marketing.campaign_performance(facts).collect()]
+    assert performance == want["campaign_performance"]
+    assert tuple(marketing.best_worst(facts).first()) == (
+        want["best_campaign"], want["worst_campaign"],
+    )
+    trend = [
+        {"date": r.month, "spend": r.spend, "revenue": r.revenue}
+        for r in marketing.monthly_trend(facts).orderBy("month").collect()
+    ]
+    assert trend == want["monthly_trend"]
+
+
+def test_single_sales_operators_agree_with_the_report(spark):
+    rows = sales_rows(12, 600)
+    facts = coerce.sales_facts(spark.createDataFrame(rows, SALES_TYPE).drop("tenant"))
+    want = brute.sales(cut(rows, SALES_TYPE), names(SALES_TYPE))
+    totals = sales.totals(facts).first().asDict()
+    assert totals == {k: want[k] for k in totals}
+    assert sales.mom_growth(facts).first().mom_growth_percent == want["mom_growth_percent"]
+    for made, name in (
+        (sales.top_products(facts), "top_products"),
+        (sales.top_customers(facts), "top_customers"),
+        (sales.revenue_by_region(facts), "region_wise_sales"),
+    ):
+        assert [r.asDict() for r in made.collect()] == want[name]
+    nothing = facts.limit(0)
+    assert tuple(sales.totals(nothing).first()) == (0.0, 0, 0.0)
+    assert sales.mom_growth(nothing).count() == sales.monthly_revenue(nothing).count() == 0
