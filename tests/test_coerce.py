@@ -96,3 +96,16 @@ def test_incomplete_rows(spark):
     assert coerce.sales_facts(df).count() == 1
     marketing = coerce.marketing_facts(df.withColumnRenamed("product", "spend"))
     assert sorted((r.revenue, r.spend) for r in marketing.collect()) == [(0.0, 0.0), (5.0, 0.0)]
+
+
+def test_facts_have_the_target_schemas(spark):
+    for target, build in ((schema.SALES, coerce.sales_facts), (schema.MARKETING, coerce.marketing_facts)):
+        text = spark.createDataFrame([], ", ".join(f"{f.name} STRING" for f in target))
+        typed = spark.createDataFrame([], target)
+        for df in (text, typed):
+            kinds = {f.name: f.dataType for f in build(df).schema}
+            assert kinds == {f.name: f.dataType for f in target}
+    assert set(schema.SALES.names) == set(schema.SALES_FIELDS) == set(schema.ALIASES["sales"])
+    assert set(schema.MARKETING.names) == set(schema.MARKETING_FIELDS) == set(
+        schema.ALIASES["marketing"]
+    )
