@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.mixing import mix_sources
+from tallywright.llm.packing import pack
 from tallywright.llm.sharding import shard_by_bytes
 
 
@@ -16,12 +17,17 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_byte_shards": op4_byte_shards,
+    "op5_packing": op5_packing,
     "op9_mixing": op9_mixing,
 }
 
