@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.mixing import mix_sources
 from tallywright.llm.packing import pack
+from tallywright.llm import secrets
 from tallywright.llm.sharding import shard_by_bytes
 
 
@@ -21,6 +22,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_byte_shards": op4_byte_shards,
     "op5_packing": op5_packing,
+    "op7_secrets": op7_secrets,
     "op9_mixing": op9_mixing,
 }
 
