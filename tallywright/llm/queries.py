@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.llm.jaccard import similar_sets
 from tallywright.llm.mixing import mix_sources
 from tallywright.llm.packing import pack
 from tallywright.llm import secrets
@@ -26,6 +27,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op4_byte_shards": op4_byte_shards,
     "op5_packing": op5_packing,
     "op7_secrets": op7_secrets,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
 }
 
