@@ -279,3 +279,13 @@ def similar_sets(
     return marked.join(least, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")
     )
+
+
+def one_of_each(
+    docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
+) -> DataFrame:
+    """``docs`` without those whose component has a smaller id. Rows of one id are one document, so
+    one of them stays; rows without an id cannot be told apart and all stay."""
+    kept = classes.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -108,7 +108,8 @@ def mix_sources(
     apportioned; a source's blocks are chosen by the seed, none more than twice, so no document is
     taken more than twice. A block may begin and end inside documents.
 
-    Returns ``id_col``, size (words; null text: 0), source_size, target, taken, and the source. A
+    Returns ``id_col``, size (words; null text: 0), source_size, target, taken, the source and
+    text_key, a hash of the text that tells apart rows of one id. A
     null source is a source. Repeated rows count each. Empty texts are taken 0 times. No words at
     all: targets are 0. The same rows and seed give the same result. Other columns are not read.
     """
@@ -144,8 +145,8 @@ def mix_sources(
         "last", F.col("source").isNull()
     )
     placed = with_positions(
-        rows.select("last", "source", "order_key", "id", "size"),
-        ["last", "source", "order_key", "id"],
+        rows.select("last", "source", "order_key", "id", "text_key", "size"),
+        ["last", "source", "order_key", "id", "text_key"],
         ["size"],
     )
     begin = F.col("before_size") - F.col("start")
@@ -175,5 +176,25 @@ def mix_sources(
             "target",
             F.when(F.col("size") > 0, part).otherwise(F.lit(0)).cast("long").alias("taken"),
             F.col("source").alias(source_col),
+            "text_key",
         )
     )
+
+
+def apply_mix(
+    docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, to the nearest whole number: a text that
+    a block's edge cuts comes whole or not at all. Rows equal in id, text and source share what is
+    taken of them. Null ids and sources are matched like others."""
+    copies = mix.filter("size > 0").groupBy(
+        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("text_key").alias("__key")
+    ).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies"))
+    copies = copies.filter("__copies > 0")
+    same = (
+        F.col(id_col).eqNullSafe(F.col("__id"))
+        & F.col(source_col).eqNullSafe(F.col("__source"))
+        & (F.xxhash64(F.col(text_col)) == F.col("__key"))
+    )
+    rows = docs.join(copies, same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

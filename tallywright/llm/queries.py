@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallywright.llm.jaccard import similar_sets
 from tallywright.llm.mixing import mix_sources
 from tallywright.llm.packing import pack
-from tallywright.llm import secrets
+from tallywright.llm import quality, secrets
 from tallywright.llm.sharding import shard_by_bytes
 
 
@@ -23,6 +23,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.with_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -38,6 +43,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_byte_shards": op4_byte_shards,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,

@@ -29,8 +29,10 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def runs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``RUN_BYTES`` of text."""
+def runs(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 16
+) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``RUN_BYTES`` of text and at most ``most`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -38,7 +40,7 @@ def runs(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.R
         begin = 0
         while begin < batch.num_rows:
             end = int(np.searchsorted(at, at[begin] + RUN_BYTES, "right")) - 1
-            end = min(max(end, begin + 1), batch.num_rows)
+            end = min(max(end, begin + 1), begin + most, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
 
