@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.jaccard import similar_sets
 from tallywright.llm.mixing import mix_sources
+from tallywright.llm.multi_index import similar_vectors
 from tallywright.llm.packing import pack
 from tallywright.llm import quality, secrets
 from tallywright.llm.sharding import shard_by_bytes
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op4_byte_shards": op4_byte_shards,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
