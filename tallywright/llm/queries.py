@@ -9,6 +9,7 @@ from tallywright.llm.mixing import mix_sources
 from tallywright.llm.multi_index import similar_vectors
 from tallywright.llm.packing import pack
 from tallywright.llm import quality, secrets
+from tallywright.llm.scoring import score_texts
 from tallywright.llm.sharding import shard_by_bytes
 
 
@@ -45,6 +46,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op4_byte_shards": op4_byte_shards,
@@ -53,6 +58,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
+    "op10_word_model": op10_word_model,
 }
 
 SQL: dict[str, str] = {}
