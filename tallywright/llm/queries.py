@@ -9,6 +9,7 @@ from tallywright.llm.mixing import mix_sources
 from tallywright.llm.multi_index import similar_vectors
 from tallywright.llm.packing import pack
 from tallywright.llm import quality, secrets
+from tallywright.llm.perplexity import judge
 from tallywright.llm.scoring import score_texts
 from tallywright.llm.sharding import shard_by_bytes
 
@@ -21,6 +22,12 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from the documents labelled good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return judge(table(spark, sf_dir, "documents"), good.withColumnRenamed("doc_id", "id"))
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -52,6 +59,7 @@ def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
+    "op2_perplexity": op2_perplexity,
     "op4_byte_shards": op4_byte_shards,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
