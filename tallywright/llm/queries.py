@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.jaccard import similar_sets
+from tallywright.llm.link_trust import judge_urls
 from tallywright.llm.mixing import mix_sources
 from tallywright.llm.multi_index import similar_vectors
 from tallywright.llm.packing import pack
@@ -28,6 +29,10 @@ def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), good.withColumnRenamed("doc_id", "id"))
 
 
+def op3_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_perplexity": op2_perplexity,
+    "op3_link_trust": op3_link_trust,
     "op4_byte_shards": op4_byte_shards,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
