@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.storage import stored
+from tallywright.llm.storage import written
 
 
 def connected(edges: DataFrame, seed: int = 17) -> DataFrame:
@@ -20,21 +20,24 @@ def connected(edges: DataFrame, seed: int = 17) -> DataFrame:
     ends = lambda e: e.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).filter("a <> b").distinct()
-    edges = stored(ends(edges))
+    edges = written(ends(edges), "components")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         order = lambda c: F.struct(F.xxhash64(F.lit(seed + len(rounds)), c).alias("order"), F.col(c).alias("node"))
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        joined = stored(
+        joined = written(
             both.groupBy("a")
             .agg(F.min(order("b")).alias("first"))
-            .select(F.col("a").alias("node"), F.least(order("a"), F.col("first"))["node"].alias("root"))
+            .select(F.col("a").alias("node"), F.least(order("a"), F.col("first"))["node"].alias("root")),
+            "components",
         )
         rounds.append(joined)
         left = joined.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
         right = joined.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
         moved = edges.join(left, "a").join(right, "b")
-        edges = stored(ends(moved.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+        edges = written(
+            ends(moved.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "components"
+        )
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     result = rounds.pop()
@@ -43,4 +46,4 @@ def connected(edges: DataFrame, seed: int = 17) -> DataFrame:
         result = (
             rounds.pop().join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
         )
-    return stored(result)
+    return written(result, "components")

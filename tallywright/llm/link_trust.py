@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.storage import stored
+from tallywright.llm.storage import written
 
 #: Verdict, host, path of each rule.
 RULES = (
@@ -71,15 +71,15 @@ def propagate(
     ``rounds``: by then 1 - damping**rounds of the final value is there.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("out"))
-    shares = stored(
-        edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share"))
+    shares = written(
+        edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")), "links"
     )
     start = hosts.select(
         "host",
         (F.col("seed") * (1 - damping)).alias("seed"),
         (F.col("weight") * (1 - damping)).alias("weight"),
     )
-    now = stored(start.withColumn("seeded", F.col("seed")).withColumn("all", F.col("weight")))
+    now = written(start.withColumn("seeded", F.col("seed")).withColumn("all", F.col("weight")), "hosts")
     if shares.isEmpty():
         return now.select("host", "seeded", "all")
     for _ in range(rounds):
@@ -100,7 +100,7 @@ def propagate(
             sums("weight", "more_all").alias("all"),
             F.abs(sums("weight", "more_all") - F.col("all")).alias("change"),
         )
-        now = stored(moved)
+        now = written(moved, "hosts")
         change, whole = now.agg(F.sum("change"), F.sum("all")).first()
         if not change or change <= tolerance * whole:
             break
@@ -137,7 +137,7 @@ def judge_urls(
         F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path")
     ).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     linked = pages.select(host_of(url).alias("host"), F.col(html_col).alias("html"))
-    edges = stored(host_edges(linked, "host", "html"))
+    edges = written(host_edges(linked, "host", "html"), "links")
     is_ = lambda v: F.count_if(F.col("found.verdict") == v).cast("double")
     own = (
         parts.filter("host <> ''")
@@ -146,7 +146,7 @@ def judge_urls(
     )
     # A host that is only linked to has no pages, but lets trust and distrust through.
     named = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
-    hosts = stored(own.join(named, "host", "full").na.fill(0.0, ["weight", "good", "bad"]))
+    hosts = written(own.join(named, "host", "full").na.fill(0.0, ["weight", "good", "bad"]), "hosts")
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     trust = propagate(hosts.withColumn("seed", F.col("good")), edges, damping, rounds, tolerance)
     distrust = propagate(hosts.withColumn("seed", F.col("bad")), against, damping, rounds, tolerance)
