@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.components import connected
+from tallywright.llm.kneser_ney import Layout, Table, counted, local_path, merged, tables
 from tallywright.llm.positions import with_positions
-from tallywright.llm.storage import stored
+from tallywright.llm.storage import new_folder, stored
 from tallywright.llm.text import mixed, runs, shingles, words
 
-#: Counters of the table of common n-grams: its size does not depend on the input.
-COUNTERS_BITS = 18
+#: n-grams per shard of the table of those that occur more than once.
+GRAMS_PER_SHARD = 2_000_000
 #: A block of the product holds n-gram sets of about so many entries, and each set counts as
 #: LEAST_ENTRIES at least, so a block has at most BLOCK_ENTRIES / LEAST_ENTRIES sets.
 BLOCK_ENTRIES = 1 << 20
@@ -30,7 +31,7 @@ def _sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     The key is a 64-bit hash of the set, so equal sets have equal keys.
     """
     hashes, document = shingles(words(text, lower=True), size, short=True)
-    order = np.lexsort((hashes, document))
+    order = _by_document(np.argsort(hashes), document)
     hashes, document = hashes[order], document[order]
     if len(hashes):
         fresh = np.ones(len(hashes), bool)
@@ -43,66 +44,70 @@ def _sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes, count, key.view(np.int64)
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)
+def _by_document(order: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """``order`` with each document's entries together; a run has few enough for 16 bits."""
+    return order[np.argsort(document[order].astype(np.uint16), kind="stable")]
 
 
-def set_keys(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, key) of each document, stored, and how far each counter of n-grams is above the
-    mean: common n-grams stand out whatever the size of the input."""
+def set_keys(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, key) of each document, stored."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTERS_BITS, np.int64)
-        names = ["id", "n", "key", "is_count"]
         for batch in runs(batches):
-            hashes, count, key = _sets(batch.column("text"), size)
-            counters += np.bincount(_counter(hashes), minlength=len(counters))
-            flags = pa.array(np.zeros(len(count), bool))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(count), pa.array(key), flags], names
-            )
-            kind = batch.schema.field("id").type
-        mean = counters.mean()
-        above = np.flatnonzero(counters > 1.5 * mean + 2)
-        if len(above):
-            columns = [
-                pa.nulls(len(above), kind),
-                pa.array((counters[above] - mean).astype(np.int64)),
-                pa.array(above),
-                pa.array(np.ones(len(above), bool)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            _, count, key = _sets(batch.column("text"), size)
+            columns = [batch.column("id"), pa.array(count), pa.array(key)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    both = stored(docs.mapInArrow(read, f"id {kind}, n bigint, key bigint, is_count boolean"))
-    common = np.zeros(1 << COUNTERS_BITS, np.int64)
-    # One row per counter at most.
-    for row in both.filter("is_count").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        common[row["key"]] = row["n"]
-    return both.filter("not is_count").drop("is_count"), common
+    return stored(docs.mapInArrow(read, f"id {kind}, n bigint, key bigint"))
+
+
+def _once(count: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The first of the documents of a run with each key."""
+    once = np.zeros(len(key), bool)
+    once[np.unique(key, return_index=True)[1]] = True
+    return once & (count > 0)
+
+
+def repeated_grams(docs: DataFrame, size: int, total: int) -> Table | None:
+    """How many sets hold each n-gram that more than one holds, counted exactly and kept as sorted
+    arrays in files. Hashes have some 13 bits more than needed to number all n-grams: a few single
+    ones count as repeated, which costs time but loses nothing."""
+    spark = docs.sparkSession
+    width = min(max(total.bit_length() + 13, 24), 63)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GRAMS_PER_SHARD))
+    layout = Layout(local_path(new_folder(spark, "grams")), 1, 0, shards, width)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in runs(batches):
+            hashes, count, key = _sets(batch.column("text"), size)
+            yield hashes[np.repeat(_once(count, key), count)] >> np.uint64(64 - width)
+
+    grams = counted(docs.select("text"), layout, 0, read)
+    return tables(merged(grams, layout, 0, least=2).collect(), layout).get(0)
 
 
-def candidate_edges(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+def candidate_edges(docs: DataFrame, size: int, percent: int, repeated: Table) -> DataFrame:
     """Edges (a, b) between set keys so that any two sets that may reach the bound are connected.
 
     Sets with at least ``percent`` in common share one of the first ``n - ceil(percent * n) + 1``
-    n-grams in any order common to all; common n-grams come last in it. Of the sets that share such
-    an n-gram, sorted by size, only neighbours whose sizes allow the bound get an edge: what lies
+    n-grams in any order common to all: here by the number of sets that hold them, so those that
+    none other holds come first and lead to nothing. Of the sets that share an n-gram, sorted by
+    size, only neighbours whose sizes allow the bound get an edge: what lies
     between two sizes that allow it does too. So a shared n-gram costs one edge per set.
     """
-    counters = docs.sparkSession.sparkContext.broadcast(common)
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)  # a few numbers per shard
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             hashes, count, key = _sets(batch.column("text"), size)
-            _, first = np.unique(key, return_index=True)
-            once = np.zeros(len(key), bool)
-            once[first] = True
             document = np.repeat(np.arange(len(count)), count)
-            order = np.lexsort((hashes, counters.value[_counter(hashes)], document))
+            times, _ = shared.value.find(hashes >> np.uint64(64 - shared.value.layout.width))
+            rare_first = np.argsort(np.minimum(times, 2**16 - 1).astype(np.uint16), kind="stable")
+            order = _by_document(rare_first, document)
             rank = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
             length = count - -(-percent * count // 100) + 1
-            kept = (rank < length[document]) & once[document]
+            kept = (rank < length[document]) & _once(count, key)[document] & (times[order] > 1)
             document = document[kept]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -270,9 +275,13 @@ def similar_sets(
     no rows. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    light, common = set_keys(slim, size)
-    edges = candidate_edges(slim, size, percent, common)
-    roots = connected(links(slim, light, edges, size, percent)).withColumnRenamed("node", "key")
+    light = set_keys(slim, size)
+    repeated = repeated_grams(slim, size, int(light.agg(F.sum("n")).first()[0] or 0))
+    if repeated is None:
+        edges = light.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    else:
+        edges = links(slim, light, candidate_edges(slim, size, percent, repeated), size, percent)
+    roots = connected(edges).withColumnRenamed("node", "key")
     marked = light.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = marked.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     alone = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))

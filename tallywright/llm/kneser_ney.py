@@ -42,12 +42,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Layout:
-    """How keys are made up and dealt out. Level 0 is a plain table of words by their hashes."""
+    """How keys are made up and dealt out. Level 0 is a plain table of hashes, of ``width`` bits and
+    dealt out by range if that is given."""
 
     folder: str
     order: int
     bits: int
     shards: int
+    width: int = 0
 
     def suffix(self, keys: np.ndarray, level: int) -> np.ndarray:
         """The last ``level`` symbols, with the group."""
@@ -61,6 +63,8 @@ class Layout:
 
     def shard(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Contexts stay whole; single words, of which all have one context, go by themselves."""
+        if self.width:
+            return (keys // np.uint64(-(-(2**self.width) // self.shards))).astype(np.int64)
         return (mixed(self.context(keys) if level > 1 else keys) % np.uint64(self.shards)).astype(np.int64)
 
 
@@ -128,8 +132,9 @@ def mapped(folder: str, name: str) -> np.ndarray:
     return np.load(f"{folder}/{name}.npy", mmap_mode="r")
 
 
-def merged(blocks_: DataFrame, layout: Layout, level: int) -> DataFrame:
-    """Merge the blocks of each shard of a level and write its arrays.
+def merged(blocks_: DataFrame, layout: Layout, level: int, least: int = 1) -> DataFrame:
+    """Merge the blocks of each shard of a level and write its arrays, of keys counted ``least``
+    times or more.
 
     Written are the sorted keys and their counts and, above level 1, the contexts with their totals
     and numbers of keys counted once, twice and more often. The result has a row of figures per
@@ -145,6 +150,7 @@ def merged(blocks_: DataFrame, layout: Layout, level: int) -> DataFrame:
             keys = np.concatenate([unpacked(k) for k in group.column("keys").to_pylist()])
             counts = np.concatenate([unpacked(c) for c in group.column("counts").to_pylist()])
             keys, counts = summed(keys, counts)
+            keys, counts = keys[counts >= least], counts[counts >= least]
             shard = group.column("shard")[0].as_py()
             write_array(layout.folder, f"{level}-keys-{shard}", keys)
             write_array(layout.folder, f"{level}-counts-{shard}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
@@ -200,7 +206,7 @@ class Table:
 
     def _search(self, keys: np.ndarray, shard: np.ndarray, name: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Per shard: which of the keys it has, and at which places."""
-        order = np.lexsort((keys, shard))
+        order = np.argsort(keys) if self.layout.width else np.lexsort((keys, shard))
         cut = np.append(0, np.cumsum(np.bincount(shard, minlength=self.layout.shards)))
         for s in np.flatnonzero(np.diff(cut)):
             if not self.there[s]:
