@@ -50,12 +50,24 @@ def finite(x: Column) -> Column:
 
 
 # Exact sums ---------------------------------------------------------------------------------
-# A double is cut into millionths, and those into three runs of 21 bits. Each run is summed as a
-# BIGINT, which cannot overflow below 2**42 rows per group and does not depend on the order of
-# the rows. What millionths cannot express is summed as a double beside them; for values with up
-# to six decimals it is exactly zero.
-_UNITS = "CASE WHEN abs({x}) < 4e12D THEN CAST(rint({x} * 1000000D) AS BIGINT) ELSE 0L END"
+# A double is cut into multiples of 2**21, millionths, and what is left. Each of the first two is
+# cut into runs of 21 bits and every run is summed as a BIGINT, which cannot overflow below 2**42
+# rows per group and does not depend on the order of the rows. What is left, at most half a
+# millionth a row, and values from 2**83 (about 9.7e24) on are summed as doubles beside them; for
+# smaller values with up to six decimals that is exactly zero.
+_BLOCKS = (
+    "CASE WHEN abs({x}) < 4e12D OR abs({x}) >= 9671406556917033397649408D THEN 0L"
+    " ELSE CAST(floor({x} / 2097152D) AS BIGINT) END"
+)
+_UNITS = (
+    "CASE WHEN abs({x}) < 9671406556917033397649408D"
+    " THEN CAST(rint(({x} - {x}__blocks * 2097152D) * 1000000D) AS BIGINT) ELSE 0L END"
+)
+_REST = "{x} - {x}__blocks * 2097152D - {x}__units / 1000000D"
 _PARTS = {
+    "top": "sum(shiftright({x}__blocks, 42))",
+    "middle": "sum(shiftright({x}__blocks, 21) & 2097151L)",
+    "bottom": "sum({x}__blocks & 2097151L)",
     "high": "sum(shiftright({x}__units, 42))",
     "mid": "sum(shiftright({x}__units, 21) & 2097151L)",
     "low": "sum({x}__units & 2097151L)",
@@ -69,18 +81,24 @@ _TOTAL = """coalesce(
         + CAST({x}__mid AS DECIMAL(20,0)) * 2097152BD + {x}__low AS DECIMAL(38,0)) * 0.000001BD
         AS DOUBLE)
     END + {x}__rest, 0D)"""
+_LARGE = """CAST(CAST({x}__top AS DECIMAL(20,0)) * 4398046511104BD
+    + CAST({x}__middle AS DECIMAL(20,0)) * 2097152BD + {x}__bottom AS DOUBLE) * 2097152D"""
+_SUM = (
+    "CASE WHEN {x}__top = 0 AND {x}__middle = 0 AND {x}__bottom = 0 THEN " + _TOTAL
+    + " ELSE coalesce(" + _LARGE + ", 0D) + " + _TOTAL + " END"
+)
 
 
 def split_amounts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Replace double columns by what :func:`sum_parts` adds up. Do this below an ``Expand``."""
     kept = [F.col(c) for c in df.columns if c not in names]
-    units = df.select(
-        "*", *[F.expr(_UNITS.format(x=n)).alias(f"{n}__units") for n in names]
-    )
-    return units.select(
+    for step, text in (("blocks", _BLOCKS), ("units", _UNITS)):
+        df = df.select("*", *[F.expr(text.format(x=n)).alias(f"{n}__{step}") for n in names])
+    return df.select(
         *kept,
+        *[f"{n}__blocks" for n in names],
         *[f"{n}__units" for n in names],
-        *[F.expr(f"{n} - {n}__units / 1000000D").alias(f"{n}__rest") for n in names],
+        *[F.expr(_REST.format(x=n)).alias(f"{n}__rest") for n in names],
     )
 
 
@@ -90,5 +108,6 @@ def sum_parts(name: str) -> list[Column]:
 
 
 def sum_total(name: str) -> Column:
-    """The sum of a split column as a double; 0.0 when there was nothing to sum."""
-    return F.expr(_TOTAL.format(x=name)).alias(name)
+    """The sum of a split column as a double; 0.0 when there was nothing to sum, and null when it is
+    beyond the largest double."""
+    return finite(F.expr(_SUM.format(x=name))).alias(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright import schema
@@ -66,12 +66,14 @@ def split_by_validity(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def payment_events(accepted: DataFrame) -> DataFrame:
     """Accepted payments as account events."""
+    subscription = "subscription_id" in accepted.columns
     return accepted.select(
         "user_id",
         "ts",
-        F.col("payment_id").alias("event_id"),
+        F.col("payment_id").cast("string").alias("event_id"),
         F.lit("payment_verified").alias("event"),
         F.lit(None).cast("string").alias("plan"),
+        *([F.col("subscription_id").cast("string")] if subscription else []),
     )
 
 
@@ -79,21 +81,39 @@ def subscription_state(events: DataFrame) -> DataFrame:
     """Fold account events ``(user_id, ts, event_id, event, plan)`` into one state per user.
 
     The status is that of the last event, the plan that of the last order, and a user with a
-    verified payment is subscribed from then on. Plain aggregates, so they are combined before the
-    shuffle and a very active user arrives as a few rows.
+    verified payment is subscribed from then on; a column ``subscription_id`` is optional, its last
+    value holds. Ids are text: of equal times the longer id, then the higher one is later, so
+    numbers keep their order. A bound on ``row_number()`` first cuts a user's events to the last of
+    each kind, in the map tasks too, so a very active user arrives as a few rows.
     """
+    if "subscription_id" not in events.columns:
+        events = events.withColumn("subscription_id", F.lit(None).cast("string"))
     status = F.lit(None).cast("string")
     for event, value in schema.STATUS.items():
         status = F.when(F.col("event") == event, value).otherwise(status)
-    order = F.struct("ts", "event_id")
     ordered = F.col("event").isin("order_created", "subscription_created")
+    given = F.col("subscription_id").isNotNull()
+    kind = (
+        F.when(ordered, 0).when(F.col("event") == "payment_verified", 1).otherwise(2) * 2
+        + given.cast("int")
+    )
+    known = events.where(F.col("event").isin(*schema.STATUS)).select(
+        "user_id", "ts", F.col("event_id").cast("string").alias("event_id"), "event", "plan",
+        "subscription_id", kind.alias("_kind"),
+    )
+    latest = Window.partitionBy("user_id", "_kind").orderBy(
+        F.desc("ts"), F.desc(F.length("event_id")), F.desc("event_id")
+    )
+    order = F.struct("ts", F.length("event_id"), "event_id")
     return (
-        events.where(F.col("event").isin(*schema.STATUS))
+        known.withColumn("_place", F.row_number().over(latest))
+        .where(F.col("_place") <= 1)
         .groupBy("user_id")
         .agg(
             F.max_by(status, order).alias("status"),
             F.max_by(F.when(ordered, F.col("plan")), F.when(ordered, order)).alias("plan"),
             F.bool_or(F.col("event") == "payment_verified").alias("is_subscribed"),
+            F.max_by("subscription_id", F.when(given, order)).alias("subscription_id"),
         )
     )
 
@@ -105,6 +125,7 @@ def apply_events(users: DataFrame, events: DataFrame) -> DataFrame:
         F.col("status").alias("_status"),
         F.col("plan").alias("_plan"),
         F.col("is_subscribed").alias("_subscribed"),
+        F.col("subscription_id").alias("_subscription"),
     )
     changed = {
         "is_subscribed": F.coalesce(F.col("is_subscribed"), F.lit(False))
@@ -112,6 +133,8 @@ def apply_events(users: DataFrame, events: DataFrame) -> DataFrame:
         "subscription_plan": F.coalesce(F.col("_plan"), F.col("subscription_plan")),
         "subscription_status": F.coalesce(F.col("_status"), F.col("subscription_status")),
     }
+    if schema.SUBSCRIPTION_ID in users.columns:
+        changed[schema.SUBSCRIPTION_ID] = F.coalesce("_subscription", schema.SUBSCRIPTION_ID)
     return users.join(state, "id", "left").select(
         *[changed[c].alias(c) if c in changed else F.col(c) for c in users.columns]
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tallywright import schema
 from tallywright.functions.similarity import alias_matcher, best_aliases, matchers
 from tallywright.functions.text import normal_header
-from tallywright.operators.settle import settle
 
 
 def alias_scores(vocabulary: DataFrame) -> DataFrame:
@@ -47,25 +46,34 @@ def map_columns(headers: DataFrame, domain: str = "sales") -> DataFrame:
     """
     chosen = F.col("domain") if "domain" in headers.columns else F.lit(domain)
     known = F.when(chosen == "marketing", "marketing").otherwise("sales")
-    named = headers.where(F.col("column").isNotNull()).select(
-        "file", "col_pos", "column", known.alias("domain"),
-        normal_header(F.col("column")).alias("header"),
+    # A row per file and spelling. Everything below starts from it, so the headers are read once.
+    named = (
+        headers.where(F.col("column").isNotNull())
+        .select(
+            "file", "column", known.alias("domain"), F.col("col_pos").cast("bigint").alias("col_pos"),
+            normal_header(F.col("column")).alias("header"),
+        )
+        .groupBy("file", "domain", "header", "column")
+        .agg(F.min("col_pos").alias("col_pos"))
+        .where(F.col("col_pos").isNotNull())
     )
     scored = named.join(
         alias_scores(named.select("domain", "header").distinct()), ["domain", "header"]
     )
-    best = F.max(F.struct("score", (-F.col("col_pos")).alias("_first"), "column"))
-    found = F.col("_best.score") > schema.MATCH_THRESHOLD
+    # Score, then position, in one BIGINT, so that the maximum is a hash aggregate. Scores are
+    # ratios of lengths, so different ones stay apart at nine digits.
+    rank = F.expr("CAST(round(score * 1e9D) AS BIGINT) * 8589934592 + (8589934591 - col_pos)")
+    best = scored.groupBy("file", "field").agg(
+        F.max(rank).alias("_rank"), F.max("score").alias("score")
+    )
+    found = F.col("score") > schema.MATCH_THRESHOLD
+    place = F.when(found, F.expr("8589934591 - _rank % 8589934592"))
+    chosen_names = named.select("file", "col_pos", F.col("column").alias("source_column"))
     return (
-        scored.groupBy("file", "field")
-        .agg(best.alias("_best"))
-        .select(
-            "file",
-            "field",
-            F.when(found, F.col("_best.column")).alias("source_column"),
-            F.when(found, -F.col("_best._first")).alias("col_pos"),
-            F.col("_best.score").alias("score"),
-        )
+        best.select("file", "field", place.alias("col_pos"), "score")
+        .join(chosen_names.groupBy("file", "col_pos").agg(F.max("source_column").alias("source_column")),
+              ["file", "col_pos"], "left")
+        .select("file", "field", "source_column", "col_pos", "score")
     )
 
 
@@ -82,16 +90,13 @@ def suggest_mapping(columns: Sequence[str], domain: str = "sales") -> dict[str,
     return {f: c if best[f] > schema.MATCH_THRESHOLD else None for f, c in mapping.items()}
 
 
-def standard_columns(
-    rows: DataFrame, mapping: DataFrame, domain: str = "sales", broadcast_files: int = 200_000
-) -> DataFrame:
+def standard_columns(rows: DataFrame, mapping: DataFrame, domain: str = "sales") -> DataFrame:
     """Rows of many files with different headers as one table of the domain's fields.
 
     ``rows`` is ``(file, cells ARRAY<STRING>, ...)``, ``mapping`` ``(file, field, col_pos)`` with
     positions from 0. The mapping becomes one small row per file with a ``layout``, the names of the
-    fields the file has; files that lack a required field are left out. Up to ``broadcast_files``
-    files that table is broadcast, so that the rows are not shuffled; beyond, Spark joins by size
-    and splits hot files.
+    fields the file has; files that lack a required field are left out. Spark joins by size and
+    splits hot files.
     """
     domain = schema.domain_of(domain)
     fields = tuple(schema.ALIASES[domain])
@@ -102,9 +107,7 @@ def standard_columns(
     for required in schema.REQUIRED[domain]:
         places = places.where(F.col(f"_{required}").isNotNull())
     layout = F.concat_ws(",", *[F.when(F.col(f"_{f}").isNotNull(), f) for f in fields])
-    places = settle(places.withColumn("layout", layout))
-    if places.count() <= broadcast_files:
-        places = F.broadcast(places)
+    places = places.withColumn("layout", layout)
     others = [c for c in rows.columns if c not in ("file", "cells")]
     return rows.join(places, "file").select(
         "file",

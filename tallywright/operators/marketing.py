@@ -29,6 +29,11 @@ RATIOS = {
 }
 
 
+def whole(name: str) -> Column:
+    """A count without its fraction; null beyond BIGINT."""
+    return F.expr(f"try_cast({name} AS BIGINT)")
+
+
 def _split(facts: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     present = [m for m in measures if m in facts.columns]
     return split_amounts(facts.select(*keys, *present), present)
@@ -67,7 +72,7 @@ def totals(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return with_ratios(measured).select(
         *by,
         round2("spend").alias("total_spend"),
-        *[F.expr(f"CAST({m} AS BIGINT)").alias(f"total_{m}") for m in COUNTS],
+        *[whole(m).alias(f"total_{m}") for m in COUNTS],
         round2("revenue").alias("total_revenue"),
         *[round2(name).alias(name) for name in RATIOS],
     )

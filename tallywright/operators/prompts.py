@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright import schema
 from tallywright.functions.text import clean_reply
+from tallywright.schema import HEAD, TAIL
 
 _JSON_STRING = (
     r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
@@ -23,63 +24,82 @@ def _by_domain(values: dict[str, str]) -> Column:
 
 
 def insight_prompts(reports: DataFrame) -> DataFrame:
-    """Adds ``system_prompt`` and ``prompt`` to reports ``(..., domain, report_json)``."""
+    """Adds ``system_prompt`` and ``prompt`` to reports ``(..., domain, part, position, text)``.
+
+    As the report, a prompt is rows of text, joined in the order of part and position.
+    """
+    header = F.when(F.col("part") == HEAD, schema.INSIGHT_HEADER).otherwise("")
     return reports.select(
         "*",
         _by_domain(schema.SYSTEM_PROMPTS).alias("system_prompt"),
-        F.concat(F.lit(schema.INSIGHT_HEADER), F.col("report_json")).alias("prompt"),
+        F.concat(header, F.col("text")).alias("prompt"),
     )
 
 
 def split_by_readiness(
     requests: DataFrame, reports: DataFrame, by: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Requests of tenants with a report, joined to it, and the rest, which have none yet."""
+    """Requests of tenants with a report, joined to it, and the rest, which have none yet.
+
+    For the second, ``reports`` may be any table of the tenants that have rows.
+    """
     return (
         requests.join(reports, list(by)),
-        requests.join(reports.select(*by), list(by), "left_anti"),
+        requests.join(reports.select(*by).distinct(), list(by), "left_anti"),
     )
 
 
 def chat_text() -> Column:
-    """The chat prompt of ``(domain, report_json, question)``."""
-    return F.concat(
-        F.lit("Business "),
-        _by_domain(schema.CHAT_LABELS),
-        F.lit(" KPI data:\n"),
-        F.col("report_json"),
+    """The chat prompt's text in each row of ``(domain, part, text, question)``."""
+    label = F.concat(F.lit("Business "), _by_domain(schema.CHAT_LABELS), F.lit(" KPI data:\n"))
+    closing = F.concat(
         F.lit(f"\n\n{schema.CHAT_QUESTION}"),
         F.col("question"),
         F.lit(f"\n\n{schema.CHAT_CLOSING}"),
     )
+    return F.concat(
+        F.when(F.col("part") == HEAD, label).otherwise(""),
+        F.col("text"),
+        F.when(F.col("part") == TAIL, closing).otherwise(""),
+    )
 
 
 def chat_prompts(questions: DataFrame, reports: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds ``prompt`` to the questions of tenants that have a report."""
+    """Adds ``prompt`` to the questions of tenants that have a report, in rows of text by part and
+    position."""
     ready, _ = split_by_readiness(questions, reports, by)
     return ready.withColumn("prompt", chat_text())
 
 
 def chat_messages(prompts: DataFrame, history: DataFrame, conversation: str) -> DataFrame:
-    """The messages of each chat, ``(conversation, turn, role, text)``, the prompt last.
+    """The messages of each chat, ``(conversation, turn, part, position, role, text)``, prompts last.
 
-    A message is a row: conversations of any length stay spread over the cluster, and a reader
-    orders by ``turn``. ``history`` has these four columns; the prompt gets the turn after its
-    conversation's last. A report in several parts gives as many prompts, in their order.
+    Conversations of any length stay spread over the cluster, and a reader orders by turn, part and
+    position; a message of the history is one row, with 0 for the latter two. ``history`` has
+    conversation, turn, role and text. Prompts get the turns after their conversation's last, in
+    the order of their questions.
     """
-    asked = prompts.select(conversation, "part", "prompt")
+    asked = prompts.select(conversation, "question", "part", "position", "prompt")
     turns = history.groupBy(conversation).agg(F.max("turn").alias("_last"))
-    after = F.coalesce(F.col("_last"), F.lit(-1)) + 1 + F.col("part")
-    closing = asked.join(turns, conversation, "left").select(
-        conversation,
-        after.cast("bigint").alias("turn"),
-        F.lit("user").alias("role"),
-        F.col("prompt").alias("text"),
+    number = F.dense_rank().over(Window.partitionBy(conversation).orderBy("question"))
+    numbered = (
+        asked.where(F.col("part") == HEAD)
+        .select(conversation, "question")
+        .distinct()
+        .withColumn("_number", number)
+        .join(turns, conversation, "left")
+        .withColumn("turn", (F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_number")).cast("bigint"))
+        .select(conversation, "question", "turn")
     )
-    kept = history.join(asked.select(conversation), conversation, "left_semi")
-    return kept.select(conversation, F.col("turn").cast("bigint"), "role", "text").unionByName(
-        closing
+    closing = asked.join(numbered, [conversation, "question"]).select(
+        conversation, "turn", "part", "position", F.lit("user").alias("role"),
+        F.col("prompt").alias("text"),
     )
+    kept = history.join(numbered.select(conversation).distinct(), conversation, "left_semi")
+    return kept.select(
+        conversation, F.col("turn").cast("bigint"), F.lit(HEAD).alias("part"),
+        F.lit(0).cast("bigint").alias("position"), "role", "text",
+    ).unionByName(closing)
 
 
 def is_json(text: Column) -> Column:

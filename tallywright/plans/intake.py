@@ -35,7 +35,7 @@ def reports_of_uploads(
     spark: SparkSession, stored: str, domain: str = "sales", formats: Sequence[str] = (),
     stamp: bool = True,
 ) -> DataFrame:
-    """JSON reports ``(file, part, report_json)`` of the stored uploads.
+    """JSON reports ``(file, part, position, text)`` of the stored uploads.
 
     A report has the sections of the fields its file has. There are at most as many layouts as
     subsets of the optional fields, and each is one partition of the table.
@@ -48,4 +48,5 @@ def reports_of_uploads(
         rows = table.where(F.col("layout") == layout).select("file", *layout.split(","))
         made = report(rows, domain, ("file",), formats=formats, stamp=stamp)
         reports.append(report_json(made, ("file",)))
-    return reduce(DataFrame.unionByName, reports)
+    nothing = spark.createDataFrame([], "file STRING, part INT, position BIGINT, text STRING")
+    return reduce(DataFrame.unionByName, reports, nothing)

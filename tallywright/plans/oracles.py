@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 
 from tallywright import schema
-from tallywright.operators.coerce import ISO_DATE, NUMBER
 from tallywright.sources import sample_accounts as accounts
 
 SQL: dict[str, str] = {}
 
+# The grammars of numbers and ISO dates, written here anew.
+NUMBER = r"[ \t\n\v\f\r]*[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?[ \t\n\v\f\r]*"
+ISO_DATE = r"[ \t\n\v\f\r]*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T].*)?[ \t\n\v\f\r]*"
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -124,43 +127,46 @@ UNION ALL SELECT 'month', strftime(date, '%Y-%m'), {_sum('revenue')}, count(*) F
 
 
 def _sales_json(with_by: bool, sections: list[str]) -> str:
-    """Reports over a table ``sales`` with a column ``tenant``."""
-    tops = ", ".join(
+    """Reports over a table ``sales`` with a column ``tenant``, as rows of text."""
+    lists = ", ".join(
         f"""{k}_list AS (SELECT tenant, {k} AS key, sum(revenue) AS revenue,
             row_number() OVER (PARTITION BY tenant ORDER BY sum(revenue) DESC, {k}) AS place
             FROM sales WHERE {k} IS NOT NULL GROUP BY tenant, {k})"""
         for k in sections
     )
     mine = "x.tenant = f.tenant"
-    lists = {
-        "product": ("top_products", "product_list", f"{mine} AND place <= 5"),
-        "region": ("region_wise_sales", "region_list", mine),
-        "customer": ("top_customers", "customer_list", f"{mine} AND place <= 5"),
-    }
-    pieces = "".join(
-        f""" || ',"{lists[k][0]}":' || {_records(
-            lists[k][1], 'place', {k: 'to_json(key)', 'revenue': _number('revenue', 6)}, lists[k][2]
-        )}"""
-        for k in sections
-    )
+
+    def top(k: str) -> str:
+        if k not in sections:
+            return ""
+        records = _records(
+            f"{k}_list", "place", {k: "to_json(key)", "revenue": _number("revenue", 6)},
+            f"{mine} AND place <= 5",
+        )
+        return f""" || ',"top_{k}s":' || {records}"""
+
     trend = _records(
         "m", "month", {"date": "to_json(month)", "revenue": _number("revenue", 6)}, mine
     )
+    by = "tenant, " if with_by else ""
     return f"""t AS (
     SELECT tenant, {_sum('revenue')} AS revenue, count(*) AS n,
         {_sum('revenue')} / count(*) AS average FROM sales GROUP BY tenant), m AS (
     SELECT tenant, strftime(date, '%Y-%m') AS month, sum(revenue) AS revenue,
         CAST(sum(revenue) AS DOUBLE) AS amount FROM sales GROUP BY ALL), g AS (
     SELECT tenant, amount, lag(amount) OVER (PARTITION BY tenant ORDER BY month) AS previous,
-        row_number() OVER (PARTITION BY tenant ORDER BY month DESC) AS place FROM m), {tops}, f AS (
+        row_number() OVER (PARTITION BY tenant ORDER BY month DESC) AS place FROM m), {lists}, f AS (
     SELECT t.*, (amount - previous) / previous * 100.0::DOUBLE AS growth
     FROM t JOIN g ON t.tenant = g.tenant AND place = 1)
-SELECT {'tenant, ' if with_by else ''}0 AS part,
+SELECT {by}0 AS part, CAST(0 AS BIGINT) AS position,
     '{{"total_revenue":' || {_number(r2('revenue'), 2)} || ',"total_orders":' || CAST(n AS VARCHAR)
     || ',"average_order_value":' || {_number(r2('average'), 2)}
     || ',"monthly_revenue_trend":' || {trend}
-    || ',"mom_growth_percent":' || {_number(r2('growth'), 2)}{pieces} || '}}' AS report_json
-FROM f"""
+    || ',"mom_growth_percent":' || {_number(r2('growth'), 2)}{top('product')}
+    || ',"region_wise_sales":[' AS text FROM f
+UNION ALL SELECT {by}1, place - 1, CASE WHEN place > 1 THEN ',' ELSE '' END || '{{"region":'
+    || to_json(key) || ',"revenue":' || {_number('revenue', 6)} || '}}' FROM region_list
+UNION ALL SELECT {by}2, 0, ']'{top('customer')} || '}}' FROM f"""
 
 
 SQL["sales_report"] = f"WITH {SALES}, {_sales_json(True, ['product', 'region', 'customer'])}"
@@ -223,15 +229,13 @@ FROM lineitem GROUP BY 1"""
 
 def _mkt_json() -> str:
     mine = "x.tenant = totals.tenant"
-    campaigns = _records(
-        "performance",
-        "roas DESC NULLS LAST, campaign",
-        {
+    entry = " || ',' || ".join(
+        f"""'"{n}":' || {v}"""
+        for n, v in {
             "campaign": "to_json(campaign)",
             **{m: _number(m, 6) for m in ("spend", "clicks", "conversions", "revenue")},
             "roas": _number("roas", 2),
-        },
-        mine,
+        }.items()
     )
     months = _records(
         "mm",
@@ -247,17 +251,21 @@ def _mkt_json() -> str:
     return f"""{_mkt_totals('tenant')}, {_mkt_campaigns('tenant')}, bw AS (
     SELECT tenant, {BEST} AS best, {WORST} AS worst FROM performance GROUP BY tenant), mm AS (
     SELECT tenant, strftime(date, '%Y-%m') AS month, sum(spend) AS spend, sum(revenue) AS revenue
-    FROM campaigns GROUP BY ALL), documents AS (
-SELECT totals.tenant, 0 AS part, '{{' || {numbers} || ',"campaign_performance":' || {campaigns}
-    || ',"best_campaign":' || to_json(best) || ',"worst_campaign":' || to_json(worst)
-    || ',"monthly_trend":' || {months} || '}}' AS report_json
+    FROM campaigns GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY tenant
+        ORDER BY roas DESC NULLS LAST, campaign) AS place FROM performance), documents AS (
+SELECT tenant, 0 AS part, CAST(0 AS BIGINT) AS position,
+    '{{' || {numbers} || ',"campaign_performance":[' AS text FROM totals
+UNION ALL SELECT tenant, 1, place - 1,
+    CASE WHEN place > 1 THEN ',' ELSE '' END || '{{' || {entry} || '}}' FROM placed
+UNION ALL SELECT totals.tenant, 2, 0, '],"best_campaign":' || to_json(best)
+    || ',"worst_campaign":' || to_json(worst) || ',"monthly_trend":' || {months} || '}}'
 FROM totals JOIN bw ON totals.tenant = bw.tenant)"""
 
 
 SQL["mkt_report"] = f"WITH {CAMPAIGNS}, {_mkt_json()} SELECT * FROM documents"
 SQL["reports_by_domain"] = f"""
-SELECT tenant, 'sales' AS domain, part, report_json FROM ({SQL['sales_report']})
-UNION ALL SELECT tenant, 'marketing', part, report_json FROM ({SQL['mkt_report']})"""
+SELECT tenant, 'sales' AS domain, part, position, text FROM ({SQL['sales_report']})
+UNION ALL SELECT tenant, 'marketing', part, position, text FROM ({SQL['mkt_report']})"""
 
 # Coercion and mapping -----------------------------------------------------------------------
 
@@ -325,20 +333,23 @@ UNION ALL SELECT file, 'product', product, {_sum('revenue')}, count(*) FROM f GR
 
 # Uploads ------------------------------------------------------------------------------------
 
-SQL["upload_profile"] = """WITH e AS (SELECT event_id, user_id, event_type, props FROM events)
-SELECT 'marketing' AS analyst_type, 'event_id,user_id,event_type,props' AS columns_found,
-    (SELECT count(*) FROM e) AS row_count, string_agg(CAST(to_json(struct_pack(event_id := event_id,
-        user_id := user_id, event_type := event_type, props := props)) AS VARCHAR), chr(10)
+_EVENT_JSON = """'{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g')
+    || '"{user},"event_type":' || to_json(event_type) || ',"value":' || CAST(value AS VARCHAR)
+    || ',"props":' || to_json(props) || '}'"""
+SQL["upload_profile"] = f"""SELECT 'marketing' AS analyst_type,
+    'event_id,ts,user_id,event_type,value,props' AS columns_found,
+    'campaign=,clicks=,conversions=,date=,impressions=,revenue=value,spend=' AS suggested_mapping,
+    (SELECT count(*) FROM events) AS row_count,
+    string_agg({_EVENT_JSON.replace('{user}', ',"user_id":' + "' || user_id || '")}, chr(10)
         ORDER BY event_id) AS preview
-FROM (SELECT * FROM e ORDER BY event_id LIMIT 5)"""
-SQL["upload_profiles_by_file"] = """WITH e AS (
-    SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS row_count,
+FROM (SELECT * FROM events ORDER BY event_id LIMIT 5)"""
+SQL["upload_profiles_by_file"] = f"""WITH e AS (
+    SELECT *, count(*) OVER (PARTITION BY user_id) AS row_count,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events)
-SELECT user_id, any_value(row_count) AS row_count, string_agg(CAST(to_json(struct_pack(
-    event_id := event_id, event_type := event_type)) AS VARCHAR), chr(10) ORDER BY event_id)
-    AS preview FROM e WHERE place <= 5 GROUP BY user_id"""
-SQL["upload_preview"] = """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders
-ORDER BY o_orderkey LIMIT 5"""
+SELECT user_id, any_value(row_count) AS row_count,
+    string_agg({_EVENT_JSON.replace('{user}', '')}, chr(10) ORDER BY event_id) AS preview
+FROM e WHERE place <= 5 GROUP BY user_id"""
+SQL["upload_preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5"
 SQL["latest_upload"] = """SELECT user_id, event_id, event_type FROM events QUALIFY
     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 SQL["latest_data"] = """SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderdate = (
@@ -406,31 +417,49 @@ SQL["subscription_status"] = f"""WITH {USERS}, {EVENTS} SELECT email,
     coalesce(users.is_subscribed, FALSE) OR coalesce(state.is_subscribed, FALSE) AS is_subscribed,
     coalesce(plan, subscription_plan) AS plan, status FROM users LEFT JOIN state ON id = user_id"""
 
+SQL["payments_to_state"] = f"""WITH {USERS}, {PAYMENTS}, all_events AS (
+    SELECT user_id, ts, CAST(event_id AS VARCHAR) AS id, CASE event_type
+        WHEN 'signup' THEN 'order_created' WHEN 'click' THEN 'created' WHEN 'purchase' THEN 'active'
+        END AS status, CASE WHEN event_type IN ('signup', 'click') THEN
+        CASE WHEN CAST(props->>'$.k' AS INT) < 50 THEN 'monthly' ELSE 'yearly' END END AS plan
+    FROM events UNION ALL
+    SELECT o_custkey, o_orderdate, 'pay_' || o_custkey, 'active', NULL
+    FROM orders JOIN signed USING (o_orderkey) WHERE signature = order_signature), state AS (
+SELECT user_id, arg_max(status, struct_pack(ts := ts, n := length(id), id := id)) AS status,
+    arg_max(plan, struct_pack(ts := ts, n := length(id), id := id)) FILTER (plan IS NOT NULL)
+        AS plan, bool_or(status = 'active') AS is_subscribed
+FROM all_events WHERE status IS NOT NULL GROUP BY user_id)
+SELECT email, coalesce(users.is_subscribed, FALSE) OR coalesce(state.is_subscribed, FALSE)
+    AS is_subscribed, coalesce(plan, subscription_plan) AS plan, status
+FROM users LEFT JOIN state ON id = user_id"""
+
 # Prompts ------------------------------------------------------------------------------------
 
 CHATS = """asked AS (SELECT conv_id, max(turn) AS asked_at, arg_max(text, turn) AS question
     FROM conversations WHERE role = 'user' GROUP BY conv_id), questions AS (
 SELECT conv_id, CAST(conv_id % 7 AS VARCHAR) AS tenant, question, asked_at FROM asked)"""
 _CHAT_TEXT = (
-    "'Business marketing campaign KPI data:' || chr(10) || report_json || chr(10) || chr(10)"
-    f" || {_text(schema.CHAT_QUESTION)} || question || chr(10) || chr(10)"
-    f" || {_text(schema.CHAT_CLOSING)}"
+    "CASE WHEN part = 0 THEN 'Business marketing campaign KPI data:' || chr(10) ELSE '' END || text"
+    f" || CASE WHEN part = 2 THEN chr(10) || chr(10) || {_text(schema.CHAT_QUESTION)} || question"
+    f" || chr(10) || chr(10) || {_text(schema.CHAT_CLOSING)} ELSE '' END"
 )
 SQL["insight_prompts"] = f"""WITH {CAMPAIGNS}, {_mkt_json()}
-SELECT tenant, {_text(schema.SYSTEM_PROMPTS['marketing'])} AS system_prompt,
-    {_text(schema.INSIGHT_HEADER)} || report_json AS prompt FROM documents"""
+SELECT tenant, part, position, {_text(schema.SYSTEM_PROMPTS['marketing'])} AS system_prompt,
+    CASE WHEN part = 0 THEN {_text(schema.INSIGHT_HEADER)} ELSE '' END || text AS prompt
+FROM documents"""
 SQL["chat_prompts"] = f"""WITH {CAMPAIGNS}, {_mkt_json()}, {CHATS}
-SELECT conv_id, tenant, {_CHAT_TEXT} AS prompt FROM questions JOIN documents USING (tenant)"""
+SELECT conv_id, tenant, part, position, {_CHAT_TEXT} AS prompt
+FROM questions JOIN documents USING (tenant)"""
 SQL["chat_unready"] = f"""WITH {CAMPAIGNS}, {CHATS} SELECT conv_id, tenant, question
 FROM questions WHERE tenant NOT IN (SELECT tenant FROM campaigns)"""
 SQL["chat_history"] = f"""WITH {CAMPAIGNS}, {_mkt_json()}, {CHATS},
-prompts AS (SELECT conv_id, asked_at, {_CHAT_TEXT} AS prompt
+prompts AS (SELECT conv_id, asked_at, part, position, {_CHAT_TEXT} AS prompt
     FROM questions JOIN documents USING (tenant)),
 before AS (SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c
-    JOIN prompts p ON c.conv_id = p.conv_id AND c.turn < asked_at)
-SELECT * FROM before UNION ALL
+    JOIN prompts p ON c.conv_id = p.conv_id AND c.turn < asked_at AND part = 0)
+SELECT conv_id, turn, 0 AS part, CAST(0 AS BIGINT) AS position, role, text FROM before UNION ALL
 SELECT conv_id, coalesce((SELECT max(turn) FROM before b WHERE b.conv_id = p.conv_id), -1) + 1,
-    'user', prompt FROM prompts p"""
+    part, position, 'user', prompt FROM prompts p"""
 SQL["insight_replies"] = """WITH r AS (SELECT conv_id, turn, conv_id % 6 AS shape, text,
     CAST(to_json(struct_pack(summary := text, problems := [role, 'late'],
         recommendations := ['wait'])) AS VARCHAR) AS long_body,
@@ -452,3 +481,34 @@ SELECT conv_id, turn, parsed, CASE WHEN parsed THEN summary ELSE raw END AS summ
     CASE WHEN parsed THEN problems ELSE '' END AS problems,
     CASE WHEN parsed THEN advice ELSE '' END AS recommendations
 FROM parts"""
+
+# Dirty data ---------------------------------------------------------------------------------
+
+_DIRTY_SALES = f"""dirty AS (SELECT CASE WHEN regexp_full_match(date, '{ISO_DATE}')
+        THEN TRY_CAST(date AS TIMESTAMP) END AS date,
+    CASE WHEN regexp_full_match(revenue, '{NUMBER}') THEN TRY_CAST(revenue AS DOUBLE) END AS amount,
+    product, region FROM ({accounts.DIRTY_SALES_SQL})),
+sales AS (SELECT date, CAST(amount AS DECIMAL(18,6)) AS revenue, product, region FROM dirty
+    WHERE date IS NOT NULL AND isfinite(amount))"""
+SQL["dirty_sales"] = f"""WITH {_DIRTY_SALES}
+SELECT 'total' AS section, CAST(NULL AS VARCHAR) AS key, {_sum('revenue')} AS revenue,
+    count(*) AS orders FROM sales
+UNION ALL SELECT 'month', strftime(date, '%Y-%m'), {_sum('revenue')}, count(*) FROM sales GROUP BY 2
+""" + "\n".join(
+    f"UNION ALL SELECT '{k}', {k}, {_sum('revenue')}, count(*) FROM sales"
+    f" WHERE {k} IS NOT NULL GROUP BY 2"
+    for k in ("product", "region")
+)
+SQL["dirty_campaigns"] = f"""WITH c AS ({accounts.DIRTY_CAMPAIGNS_SQL}), n AS (SELECT campaign,
+    CASE WHEN regexp_full_match(spend, '{NUMBER}') THEN TRY_CAST(spend AS DOUBLE) END AS spend,
+    CASE WHEN regexp_full_match(revenue, '{NUMBER}') THEN TRY_CAST(revenue AS DOUBLE) END AS revenue
+    FROM c WHERE date IS NOT NULL AND campaign IS NOT NULL), s AS (SELECT campaign,
+    CAST(sum(CAST(coalesce(spend, 0) AS DECIMAL(18,6))) AS DOUBLE) AS spend,
+    CAST(count(*) AS DOUBLE) AS n,
+    CAST(sum(CAST(coalesce(revenue, 0) AS DECIMAL(18,6))) AS DOUBLE) AS revenue
+    FROM n GROUP BY campaign), q AS (
+SELECT *, CASE WHEN spend > 0 THEN revenue / spend END AS quotient FROM s)
+SELECT campaign, spend, n AS clicks, n AS conversions, revenue, {r2('quotient')} AS roas FROM q"""
+SQL["mkt_trend_fallback"] = f"""SELECT strftime(l_shipdate, '%Y-%m') AS month,
+    CAST(count(*) AS DOUBLE) AS spend, {_sum(f'{PRICE} * (1 - {DISCOUNT})')} AS revenue
+FROM lineitem GROUP BY 1"""

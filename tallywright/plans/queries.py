@@ -262,14 +262,15 @@ def mapped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upload_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    about = uploads.profile(
-        table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"),
-        "marketing",
-        ("event_id",),
+    about = uploads.profile(table(spark, sf_dir, "events"), "marketing", ("event_id",))
+    pairs = F.transform(
+        F.array_sort(F.map_entries("suggested_mapping")),
+        lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))),
     )
     return about.select(
         "analyst_type",
         F.array_join("columns_found", ",").alias("columns_found"),
+        F.array_join(pairs, ",").alias("suggested_mapping"),
         "row_count",
         F.array_join("preview", "\n").alias("preview"),
     )
@@ -277,18 +278,13 @@ def upload_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upload_profiles_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = uploads.profile_files(
-        table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"),
-        "user_id",
-        ("event_id",),
-    )
+    files = uploads.profile_files(table(spark, sf_dir, "events"), "user_id", ("event_id",))
     return files.select("user_id", "row_count", F.array_join("preview", "\n").alias("preview"))
 
 
 @query
 def upload_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return uploads.preview(lines, ("o_orderkey",))
+    return uploads.preview(table(spark, sf_dir, "orders"), ("o_orderkey",))
 
 
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +385,8 @@ def rejected_subscription_payments(spark: SparkSession, sf_dir: str) -> DataFram
 
 @query
 def subscription_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return billing.subscription_state(sample_accounts.account_events(spark, sf_dir))
+    state = billing.subscription_state(sample_accounts.account_events(spark, sf_dir))
+    return state.drop("subscription_id")
 
 
 @query
@@ -399,6 +396,55 @@ def subscription_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.subscription_status(after)
 
 
+@query
+def payments_to_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, subscriptions and the payments that pass the check, folded into the accounts."""
+    paid = sample_accounts.payments(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts")
+        ),
+        "o_orderkey",
+    )
+    checked = billing.check_payments(paid, sample_accounts.SIGNING_KEY)
+    accepted, _ = billing.split_by_validity(checked)
+    ordered = sample_accounts.account_events(spark, sf_dir)
+    events = ordered.withColumn("event_id", F.col("event_id").cast("string")).unionByName(
+        billing.payment_events(accepted)
+    )
+    after = billing.apply_events(sample_accounts.users(spark, sf_dir), events)
+    return accounts.subscription_status(after)
+
+
+# Dirty data ---------------------------------------------------------------------------------
+
+
+@query
+def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and unusable dates and amounts, missing keys, the key NA."""
+    cells = spark.sql(
+        sample_accounts.DIRTY_SALES_SQL.replace("FROM orders", "FROM {orders}"),
+        orders=table(spark, sf_dir, "orders"),
+    )
+    return sales.breakdown(coerce.sales_facts(cells))
+
+
+@query
+def dirty_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unusable amounts, missing dates and campaigns, no spend, neither clicks nor conversions."""
+    cells = spark.sql(
+        sample_accounts.DIRTY_CAMPAIGNS_SQL.replace("FROM events", "FROM {events}"),
+        events=table(spark, sf_dir, "events"),
+    )
+    return marketing.campaign_performance(coerce.marketing_facts(cells))
+
+
+@query
+def mkt_trend_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend of a file without spend."""
+    facts = coerce.marketing_facts(sample_facts.shipments(spark, sf_dir).drop("spend"))
+    return marketing.monthly_trend(facts)
+
+
 # Prompts ------------------------------------------------------------------------------------
 
 
@@ -409,7 +455,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def insight_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.insight_prompts(_reports(spark, sf_dir)).select(
-        "tenant", "system_prompt", "prompt"
+        "tenant", "part", "position", "system_prompt", "prompt"
     )
 
 
@@ -417,14 +463,15 @@ def insight_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, _ = sample_accounts.chats(spark, sf_dir)
     asked = prompts.chat_prompts(questions, _reports(spark, sf_dir), ("tenant",))
-    return asked.select("conv_id", "tenant", "prompt")
+    return asked.select("conv_id", "tenant", "part", "position", "prompt")
 
 
 @query
 def chat_unready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of tenants without a report."""
     questions, _ = sample_accounts.chats(spark, sf_dir)
-    _, waiting = prompts.split_by_readiness(questions, _reports(spark, sf_dir), ("tenant",))
+    tenants = sample_facts.campaigns(spark, sf_dir).where("date IS NOT NULL").select("tenant")
+    _, waiting = prompts.split_by_readiness(questions, tenants, ("tenant",))
     return waiting
 
 

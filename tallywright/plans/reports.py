@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,40 +13,44 @@ from tallywright.functions.dates import utc_stamp
 from tallywright.functions.numbers import round2
 from tallywright.operators import coerce, marketing, sales
 from tallywright.operators.settle import positions, settle
+from tallywright.schema import ENTRY, HEAD, TAIL
 
-# Longest list of regions or campaigns in one report row; longer lists go on in further rows.
-PART_SIZE = 10_000
+
+class Report(NamedTuple):
+    """A report of every tenant in two tables.
+
+    ``summary`` has a row per tenant with all sections that are bounded: totals, ratios, months of
+    the calendar, top fives. ``listing`` has a row per region or campaign, ``(by, position,
+    entry)``, position from 0 in the order of the list, which may be of any length. ``growing`` is
+    the name of that section, null where the table lacks its column, and ``sections`` the order of
+    all.
+    """
+
+    summary: DataFrame
+    listing: DataFrame
+    growing: str | None
+    sections: list[str]
 
 
 def presented(name: str) -> Column:
-    """A column rounded to two places, as a decimal that JSON writes without an exponent."""
-    return round2(name).cast("decimal(38,2)")
+    """A column rounded to two places, as a decimal that JSON writes without an exponent; null
+    where it has too many digits for one (see :func:`oversized`)."""
+    return round2(name).try_cast("decimal(38,2)")
 
 
 def amount(x: Column) -> Column:
     """An unrounded sum, likewise."""
-    return x.cast("decimal(38,6)")
-
+    return x.try_cast("decimal(38,6)")
 
-def _in_parts(
-    entries: DataFrame, by: Sequence[str], section: str, order: list[Column], part_size: int
-) -> tuple[DataFrame, list[str]]:
-    """The entries, computed once, and the columns to group them by.
 
-    All sections but one are bounded: top fives, and months of the calendar. The one list that
-    grows with the data is measured. If no tenant's exceeds ``part_size`` the tenant is the group;
-    otherwise a column ``part`` splits it at every ``part_size`` positions.
-    """
-    entries = settle(entries)
-    growing = F.col("section") == section
-    longest = entries.where(growing).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if longest <= part_size:
-        return entries, list(by)
-    placed = positions(entries.where(growing), by, order).withColumn(
-        "part", F.floor(F.col("position") / part_size).cast("int")
-    )
-    rest = entries.where(~growing).withColumn("part", F.lit(0))
-    return rest.unionByName(placed.drop("position")), [*by, "part"]
+def oversized(values: Mapping[str, Column]) -> Column:
+    """Doubles of more digits than a decimal has, by name as text; null where there are none."""
+    pairs = [
+        F.when(F.abs(v) >= 1e32, F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")))
+        for n, v in values.items()
+    ]
+    kept = F.filter(F.array(*pairs), lambda p: p.isNotNull())
+    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
 
 
 def _list(section: str, order: Sequence[Column], fields: Mapping[str, Column]) -> Column:
@@ -60,53 +65,51 @@ def _of_total(x: Column) -> Column:
     return F.max(F.when(F.col("section") == "total", x))
 
 
-def _finish(
-    report: DataFrame, by: Sequence[str], sections: Mapping[str, Column], growing: str | None,
-    stamp: bool,
+def _total_or_zero(x: Column) -> Column:
+    """A total, which may be null as too large, or 0 where there are no rows at all."""
+    return F.when(F.bool_or(F.col("section") == "total"), _of_total(x)).otherwise(F.lit(0.0))
+
+
+def _listing(
+    entries: DataFrame, by: Sequence[str], section: str, order: list[Column], fields: Mapping[str, Column]
 ) -> DataFrame:
-    """Select the sections; rows after a tenant's first carry the growing list only."""
-    part = F.col("part") if "part" in report.columns else F.lit(0)
-    columns = [
-        value if name == growing else F.when(part == 0, value) for name, value in sections.items()
-    ]
-    if "part" not in report.columns:
-        columns = list(sections.values())
+    placed = positions(entries.where(F.col("section") == section), by, order)
+    entry = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return placed.select(*by, F.col("position").cast("bigint").alias("position"), entry.alias("entry"))
+
+
+def _finish(
+    gathered: DataFrame, listing: DataFrame, by: Sequence[str], sections: Mapping[str, Column | None],
+    growing: str, large: Mapping[str, Column], stamp: bool,
+) -> Report:
+    names = list(sections)
+    columns = [c.alias(n) for n, c in sections.items() if n != growing]
     if stamp:
-        columns.append(utc_stamp())
-    names = [*sections, *(["generated_at"] if stamp else [])]
-    return report.select(
-        *by, part.alias("part"), *[c.alias(n) for c, n in zip(columns, names, strict=True)]
-    )
+        columns.append(utc_stamp().alias("generated_at"))
+        names.append("generated_at")
+    summary = gathered.select(*by, *columns, oversized(large).alias("large_values"))
+    return Report(summary, listing, growing if growing in sections else None, names)
 
 
 def sales_report(
-    df: DataFrame,
-    by: Sequence[str] = (),
-    *,
-    formats: Sequence[str] = (),
-    stamp: bool = True,
-    part_size: int = PART_SIZE,
-) -> DataFrame:
-    """All sales KPIs of a table with standard column names, one row per tenant.
+    df: DataFrame, by: Sequence[str] = (), *, formats: Sequence[str] = (), stamp: bool = True
+) -> Report:
+    """All sales KPIs of a table with standard column names, per tenant.
 
-    Sections whose column the table lacks are left out. A tenant with more than ``part_size``
-    regions has further rows, ``part`` 1 and up, that continue the list of regions.
+    Sections whose column the table lacks are left out. The regions are the listing.
     """
     facts = coerce.sales_facts(df, by, formats)
-    falling = [F.desc("revenue"), F.col("key")]
-    entries, groups = _in_parts(sales.entries(facts, by), by, "region", falling, part_size)
+    entries = settle(sales.entries(facts, by))
     revenue, key = F.col("revenue"), F.col("key")
+    falling = [F.desc("revenue"), key]
     ranked = [-revenue, key]
     lists = {
-        "monthly_revenue_trend": _list(
-            "month", [key], {"date": key, "revenue": revenue}
-        ),
+        "monthly_revenue_trend": _list("month", [key], {"date": key, "revenue": revenue}),
         "top_products": _list("product", ranked, {"product": key, "revenue": amount(revenue)}),
-        "region_wise_sales": _list("region", ranked, {"region": key, "revenue": amount(revenue)}),
         "top_customers": _list("customer", ranked, {"customer": key, "revenue": amount(revenue)}),
     }
-    gathered = entries.groupBy(*groups).agg(
-        F.coalesce(_of_total(revenue), F.lit(0.0)).alias("revenue"),
+    gathered = entries.groupBy(*by).agg(
+        _total_or_zero(revenue).alias("revenue"),
         F.coalesce(_of_total(F.col("orders")), F.lit(0)).alias("orders"),
         *[c.alias(n) for n, c in lists.items()],
     )
@@ -131,120 +134,131 @@ def sales_report(
         ("top_products", "product"), ("region_wise_sales", "region"), ("top_customers", "customer"),
     ):
         if column in facts.columns and column not in by:
-            sections[section] = F.col(section)
-    return _finish(gathered, by, sections, "region_wise_sales", stamp)
+            sections[section] = F.col(section) if section in lists else None
+    large = {
+        "total_revenue": revenue,
+        "average_order_value": F.col("_average"),
+        "mom_growth_percent": F.col("_growth"),
+    }
+    regions = _listing(
+        entries, by, "region", falling, {"region": key, "revenue": amount(revenue)}
+    )
+    return _finish(gathered, regions, by, sections, "region_wise_sales", large, stamp)
 
 
 def marketing_report(
-    df: DataFrame,
-    by: Sequence[str] = (),
-    *,
-    formats: Sequence[str] = (),
-    stamp: bool = True,
-    part_size: int = PART_SIZE,
-) -> DataFrame:
-    """All marketing KPIs of a table with standard column names, one row per tenant.
-
-    A tenant with more than ``part_size`` campaigns has further rows that continue their list.
-    """
+    df: DataFrame, by: Sequence[str] = (), *, formats: Sequence[str] = (), stamp: bool = True
+) -> Report:
+    """All marketing KPIs of a table with standard column names, per tenant. The campaigns are the
+    listing."""
     facts = coerce.marketing_facts(df, by, formats)
     with_campaigns = "campaign" in facts.columns and "campaign" not in by
     entries = marketing.with_roas(marketing.entries(facts, by)).withColumn(
         "roas", F.when(F.col("section") == "campaign", F.col("roas"))
     )
-    falling = [F.desc_nulls_last("roas"), F.col("key")]
-    entries, groups = _in_parts(entries, by, "campaign", falling, part_size)
+    entries = settle(entries)
     key, roas = F.col("key"), F.col("roas")
-    lists = {
-        "campaign_performance": _list(
-            "campaign",
-            [roas.isNull(), -roas, key],
-            {
-                "campaign": key,
-                "spend": amount(F.col("spend")),
-                "clicks": amount(F.col("clicks")),
-                "conversions": amount(F.col("conversions")),
-                "revenue": amount(F.col("revenue")),
-                "roas": roas.cast("decimal(38,2)"),
-            },
-        ),
-        "monthly_trend": _list(
-            "month",
-            [key],
-            {
-                "date": key,
-                "spend": amount(F.col("spend")),
-                "revenue": amount(F.col("revenue")),
-            },
-        ),
-    }
-    gathered = entries.groupBy(*groups).agg(
-        *[F.coalesce(_of_total(F.col(m)), F.lit(0.0)).alias(m) for m in schema.MEASURES],
+    trend = _list(
+        "month",
+        [key],
+        {"date": key, "spend": amount(F.col("spend")), "revenue": amount(F.col("revenue"))},
+    )
+    gathered = entries.groupBy(*by).agg(
+        *[_total_or_zero(F.col(m)).alias(m) for m in schema.MEASURES],
         *marketing.best_and_worst(key, roas),
-        *[c.alias(n) for n, c in lists.items()],
+        trend.alias("monthly_trend"),
     )
-    if "part" in groups:
-        gathered = _best_and_worst_of_all(gathered, entries, by)
     gathered = marketing.with_ratios(gathered)
     sections = {
         "total_spend": presented("spend"),
-        **{f"total_{m}": F.col(m).cast("bigint") for m in marketing.COUNTS},
+        **{f"total_{m}": marketing.whole(m) for m in marketing.COUNTS},
         "total_revenue": presented("revenue"),
         **{name: presented(name) for name in marketing.RATIOS},
     }
     if with_campaigns:
-        for name in ("campaign_performance", "best_campaign", "worst_campaign"):
+        sections["campaign_performance"] = None
+        for name in ("best_campaign", "worst_campaign"):
             sections[name] = F.col(name)
     sections["monthly_trend"] = F.col("monthly_trend")
-    return _finish(gathered, by, sections, "campaign_performance", stamp)
-
-
-def _best_and_worst_of_all(parts: DataFrame, entries: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Replace each part's best and worst campaign by those of the whole tenant."""
-    best = entries.groupBy(*by).agg(*marketing.best_and_worst(F.col("key"), F.col("roas")))
-    parts = parts.drop("best_campaign", "worst_campaign")
-    if not by:
-        return parts.withColumn(
-            "best_campaign", best.select("best_campaign").scalar()
-        ).withColumn("worst_campaign", best.select("worst_campaign").scalar())
-    best = best.withColumnsRenamed({c: f"_{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return parts.join(best, same).drop(*[f"_{c}" for c in by])
+    large = {
+        **{f"total_{m}": F.col(m) for m in schema.MEASURES},
+        **{name: F.col(name) for name in marketing.RATIOS},
+    }
+    falling = [F.desc_nulls_last("roas"), key]
+    measures = {m: amount(F.col(m)) for m in marketing.CAMPAIGN_MEASURES}
+    campaigns = _listing(
+        entries, by, "campaign", falling,
+        {"campaign": key, **measures, "roas": roas.try_cast("decimal(38,2)")},
+    )
+    return _finish(gathered, campaigns, by, sections, "campaign_performance", large, stamp)
 
 
-def report(df: DataFrame, domain: str = "sales", by: Sequence[str] = (), **options) -> DataFrame:
+def report(df: DataFrame, domain: str = "sales", by: Sequence[str] = (), **options) -> Report:
     """The report of a domain, after the check for the columns it cannot do without."""
     coerce.require_columns(df, domain)
     build = {"sales": sales_report, "marketing": marketing_report}[schema.domain_of(domain)]
     return build(df, by, **options)
 
 
-def report_json(report_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, part, report_json)``: the report as JSON, with null for what cannot be computed.
+def report_json(made: Report, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, part, position, text)``: the report as JSON in rows.
 
-    Rows that continue a list hold that list alone, so nulls are left out of them.
+    Joined in the order of part and position, a tenant's texts are the JSON document, with null for
+    what cannot be computed. It always has a first and a last row, and between them one for each
+    region or campaign, so no list is gathered however long it is. Values of more than 38 digits
+    are null in their place and follow as text under ``large_values``.
     """
-    body = F.struct(*[c for c in report_rows.columns if c not in {*by, "part"}])
-    whole = F.to_json(body, {"ignoreNullFields": "false"})
-    return report_rows.select(
+    whole = {"ignoreNullFields": "false"}
+    at = made.sections.index(made.growing) if made.growing else len(made.sections)
+    fields = lambda names: F.to_json(F.struct(*names), whole)
+    first, last = made.sections[:at], made.sections[at + 1 :]
+    head, tail = F.lit("{"), F.lit("")
+    if first:
+        head = F.expr("substring(_head, 1, length(_head) - 1)")
+    if made.growing:
+        head = F.concat(head, F.lit(f'{"," if first else ""}"{made.growing}":['))
+        tail = F.lit("]")
+    if last:
+        tail = F.concat(tail, F.lit(","), F.expr("substring(_tail, 2, length(_tail) - 2)"))
+    large = F.when(
+        F.col("large_values").isNotNull(),
+        F.concat(F.lit(',"large_values":'), F.to_json("large_values")),
+    )
+    tail = F.concat(tail, F.coalesce(large, F.lit("")), F.lit("}"))
+    ends = made.summary.select(
+        *by,
+        (fields(first) if first else F.lit("")).alias("_head"),
+        (fields(last) if last else F.lit("")).alias("_tail"),
+        "large_values",
+    ).select(
         *by,
-        "part",
-        F.when(F.col("part") == 0, whole).otherwise(F.to_json(body)).alias("report_json"),
+        F.explode(
+            F.array(
+                F.struct(F.lit(HEAD).alias("part"), head.alias("text")),
+                F.struct(F.lit(TAIL).alias("part"), tail.alias("text")),
+            )
+        ).alias("_end"),
     )
+    rows = ends.select(*by, "_end.part", F.lit(0).cast("bigint").alias("position"), "_end.text")
+    if not made.growing:
+        return rows
+    comma = F.when(F.col("position") > 0, ",").otherwise("")
+    entries = made.listing.select(
+        *by, F.lit(ENTRY).alias("part"), "position", F.concat(comma, F.to_json("entry", whole)).alias("text")
+    )
+    return rows.unionByName(entries)
 
 
 def confirm_mapping(
     df: DataFrame, mapping: Mapping[str, str | None], domain: str = "sales",
     by: Sequence[str] = (), **options,
-) -> DataFrame:
+) -> Report:
     """Rename by the confirmed mapping, check, and compute the report of the domain."""
     return report(coerce.rename_by_mapping(df, mapping), domain, by, **options)
 
 
 def reports_by_domain(rows: DataFrame, by: Sequence[str], **options) -> DataFrame:
-    """JSON reports of rows of both domains: ``(by, domain, part, report_json)``.
+    """JSON reports of rows of both domains: ``(by, domain, part, position, text)``.
 
     ``rows`` has the fields of both domains and a column ``domain``; each branch keeps the fields
     its domain defines.
@@ -256,8 +270,6 @@ def reports_by_domain(rows: DataFrame, by: Sequence[str], **options) -> DataFram
         is_marketing = F.coalesce(F.col("domain") == "marketing", F.lit(False))
         mine = rows.where(is_marketing if domain == "marketing" else ~is_marketing)
         kept = mine.select(*by, *[f for f in fields if f in rows.columns and f not in by])
-        documents = report_json(report(kept, domain, by, **options), by)
-        reports.append(
-            documents.select(*by, F.lit(domain).alias("domain"), "part", "report_json")
-        )
+        texts = report_json(report(kept, domain, by, **options), by)
+        reports.append(texts.select(*by, F.lit(domain).alias("domain"), "part", "position", "text"))
     return reports[0].unionByName(reports[1])

@@ -135,6 +135,12 @@ USERS = T.StructType(
 )
 # ---- end of fixed values ------------------------------------------------------------------
 
+# Parts of a report as text: what comes before its long list, the entries of that list, the rest.
+HEAD, ENTRY, TAIL = 0, 1, 2
+
+# The account table's column for the payment provider's subscription.
+SUBSCRIPTION_ID = USERS.fieldNames()[-1]
+
 REPLY = T.StructType(
     [
         T.StructField("summary", T.StringType()),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,6 @@ from tallywright import schema
 from tallywright.operators.coerce import drop_na_tokens
 from tallywright.operators.settle import settle
 
-# Files up to this size are read whole by one task each; larger ones are split where possible.
-WHOLE_FILE_BYTES = 512 * 1024 * 1024
-
-
 def check_format(path: str) -> str:
     """``csv`` for a CSV file or a folder of them; other formats raise ``ValueError``."""
     name = os.path.basename(path.rstrip("/"))
@@ -27,61 +25,68 @@ def check_format(path: str) -> str:
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file from a pass over its lines: ``(file, header, commas, open_quotes)``.
+    """One row per file: ``(file, header, open_quotes)``.
 
-    ``header`` is the first line, ``commas`` the most in a line, and ``open_quotes`` tells whether
-    a line has an odd number of quotes, so that a cell may go on in the next one.
+    ``header`` is the first line that is not blank, ``open_quotes`` tells whether a line has an odd
+    number of quotes, so that a cell may go on in the next one. The place of the header is the least
+    line number of the file's first block, a BIGINT, so the lines are combined by hash and never
+    sorted; the text is then looked up by it.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-
-    def count(mark: str):
-        return F.length("value") - F.length(F.replace(F.col("value"), F.lit(mark), F.lit("")))
-
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    return (
-        lines.select(
-            F.col("_metadata.file_path").alias("file"), "value", place.alias("place"),
-            count(",").alias("commas"), (count('"') % 2 == 1).alias("open_quotes"),
-        )
-        .groupBy("file")
-        .agg(
-            F.min_by("value", "place").alias("header"),
-            F.max("commas").alias("commas"),
-            F.bool_or("open_quotes").alias("open_quotes"),
-        )
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    first = (F.col("block") == 0) & (F.trim("value") != "")
+    about = lines.groupBy("file").agg(
+        F.min(F.when(first, F.col("number"))).alias("number"),
+        F.bool_or(quotes % 2 == 1).alias("open_quotes"),
     )
+    headers = lines.where(first).select("file", "number", F.col("value").alias("header"))
+    return about.join(headers, ["file", "number"], "left").select("file", "header", "open_quotes")
 
 
-def largest_file(spark: SparkSession, path: str) -> int:
-    """Bytes of the largest CSV file at a path, from the listing alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return files.agg(F.max("length")).first()[0] or 0
+def _read(spark: SparkSession, path: str, open_files: list[str], **options):
+    """Readers of the files whose cells end in their line, which are split between tasks, and of
+    the others, each read by one task: ``(reader, paths)``.
 
+    Which way a file is read depends on its own content alone, not on its size or its neighbours.
+    """
+    plain = {"header": True, "escape": '"', "pathGlobFilter": "*.csv", **options}
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    others = [
+        r.path for r in listed.select("path").collect() if unquote(r.path) not in set(open_files)
+    ]
+    found = []
+    for multiline, paths in ((False, [unquote(p) for p in others]), (True, open_files)):
+        if paths:
+            found.append((spark.read.options(multiLine=multiline, **plain), sorted(paths)))
+    return found
 
-def _options(multiline: bool) -> dict:
-    return {"header": True, "multiLine": multiline, "escape": '"', "pathGlobFilter": "*.csv"}
+
+def _open_files(lines: DataFrame) -> list[str]:
+    return [unquote(r.file) for r in lines.where("open_quotes").select("file").collect()]
 
 
 def read_upload(
-    spark: SparkSession,
-    path: str,
-    na_tokens: tuple[str, ...] = schema.NA_TOKENS,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    spark: SparkSession, path: str, na_tokens: tuple[str, ...] = schema.NA_TOKENS
 ) -> DataFrame:
     """Read an uploaded CSV file, or a folder of files with the same header, all cells as text.
 
-    Cells may hold line breaks, and then a file cannot be split between tasks. Small files are
-    read that way without asking; for a large one the lines are searched for open quotes first, and
-    a file without any is split. Files whose header differs from the first one's raise an error.
+    Cells may hold line breaks, and then a file cannot be split between tasks: the lines of every
+    file are searched for open quotes first. Files whose header differs from the first one's raise
+    an error.
     """
     check_format(path)
-    multiline = largest_file(spark, path) <= whole_file_bytes or (
-        not scan_lines(spark, path).where("open_quotes").isEmpty()
-    )
-    options = _options(multiline)
-    header = spark.read.options(**options).csv(path).schema
-    checked = spark.read.options(enforceSchema=False, **options).schema(header)
-    return drop_na_tokens(checked.csv(path), na_tokens)
+    parts = _read(spark, path, _open_files(scan_lines(spark, path)))
+    if not parts:
+        raise ValueError(f"no CSV file at {path}")
+    header = parts[0][0].csv(parts[0][1][0]).schema
+    rows = [
+        reader.options(enforceSchema=False).schema(header).csv(paths) for reader, paths in parts
+    ]
+    return drop_na_tokens(reduce(DataFrame.unionByName, rows), na_tokens)
 
 
 def read_uploads(
@@ -89,37 +94,39 @@ def read_uploads(
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of CSV files, each with a header of its own.
 
-    Gives ``(file, col_pos, column)`` for the headers and ``(file, cells)`` for the rows. One pass
-    over the lines finds the headers, the widest file and whether any cell spans lines; without
-    such cells files of any size are split between tasks.
+    Gives ``(file, col_pos, column)`` for the headers and ``(file, cells)`` for the rows, as wide as
+    the widest header. One pass over the lines finds the headers and the files with cells that
+    span lines; the others are split between tasks whatever their size.
     """
     check_format(path)
     found = settle(scan_lines(spark, path))
-    about = found.agg(
-        F.max("commas").alias("commas"), F.bool_or("open_quotes").alias("open_quotes")
-    ).first()
-    names = [f"c{i}" for i in range((about.commas or 0) + 1)]
+    width = found.agg(F.max(F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))))
+    names = [f"c{i}" for i in range((width.first()[0] or 0) + 1)]
     wide = ", ".join(f"{n} STRING" for n in names)
     header = F.from_csv(F.col("header"), F.lit(wide), {"escape": '"'})
     headers = found.select("file", header.alias("h")).select(
         "file", F.posexplode(F.array(*[f"h.{n}" for n in names])).alias("col_pos", "column")
     )
-    rows = spark.read.schema(wide).options(**_options(bool(about.open_quotes))).csv(path)
-    cells = drop_na_tokens(rows.select("*", F.col("_metadata.file_path").alias("_file")), na_tokens)
+    rows = [
+        reader.schema(wide).csv(paths).select("*", F.col("_metadata.file_path").alias("_file"))
+        for reader, paths in _read(spark, path, _open_files(found))
+    ]
+    nothing = spark.createDataFrame([], f"{wide}, _file STRING")
+    cells = drop_na_tokens(reduce(DataFrame.unionByName, rows, nothing), na_tokens)
     return (
         headers.where(F.col("column").isNotNull()),
         cells.select(F.col("_file").alias("file"), F.array(*names).alias("cells")),
     )
 
 
-def read_users(spark: SparkSession, url: str, partitions: int = 1, **options: str) -> DataFrame:
-    """The account table through JDBC, without the password hashes.
-
-    With several ``partitions`` it is read in id ranges; pass ``lowerBound`` and ``upperBound``.
-    """
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", "users")
-    if partitions > 1:
-        reader = reader.option("partitionColumn", "id").option("numPartitions", partitions)
+def read_users(
+    spark: SparkSession, url: str, lowest_id: int, highest_id: int, partitions: int = 16,
+    **options: str,
+) -> DataFrame:
+    """The account table through JDBC, without the password hashes, in ranges of the id."""
+    ranges = {"partitionColumn": "id", "lowerBound": lowest_id, "upperBound": highest_id}
+    reader = spark.read.format("jdbc").options(url=url, dbtable="users", **ranges)
+    reader = reader.option("numPartitions", partitions)
     return reader.options(**options).load().drop("hashed_password")
 
 

@@ -36,6 +36,19 @@ DIRTY_DATE = f"""CASE o_orderkey % 9
 DIRTY_CELL = """CASE l_linenumber WHEN 1 THEN 'NA' WHEN 2 THEN 'null' WHEN 3 THEN ''
     WHEN 4 THEN 'n/a' ELSE l_returnflag END"""
 
+# Facts as text with all that can be wrong in them: missing and unusable dates and amounts, no key.
+DIRTY_SALES_SQL = f"""SELECT {DIRTY_DATE} AS date, CASE o_orderkey % 7 WHEN 0 THEN NULL
+        WHEN 1 THEN 'n/a' WHEN 2 THEN '-12.5' WHEN 3 THEN '1,000' WHEN 4 THEN '1e400'
+        ELSE CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS STRING) END AS revenue,
+    CASE WHEN o_orderkey % 11 > 2 THEN o_orderstatus END AS product,
+    CASE WHEN o_orderkey % 5 > 1 THEN o_orderpriority WHEN o_orderkey % 5 = 1 THEN 'NA' END AS region
+    FROM orders"""
+DIRTY_CAMPAIGNS_SQL = """SELECT CASE WHEN event_id % 13 > 0 THEN ts END AS date,
+    CASE WHEN user_id % 9 > 0 THEN 'C' || CAST(user_id % 9 AS STRING) END AS campaign,
+    CASE WHEN user_id % 9 < 3 THEN '0' WHEN event_id % 4 = 0 THEN 'free' WHEN event_id % 4 = 1
+        THEN NULL ELSE CAST(event_id % 50 AS STRING) || '.25' END AS spend,
+    CASE event_id % 3 WHEN 0 THEN '-3' WHEN 1 THEN 'none' ELSE '7.5' END AS revenue FROM events"""
+
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(

@@ -9,6 +9,17 @@ from tallywright.plans.intake import reports_of_uploads, store_uploads
 from tallywright.sources import files
 
 
+def document(rows):
+    return json.loads("".join(r.text for r in sorted(rows, key=lambda r: (r.part, r.position))))
+
+
+def by_file(made):
+    found = {}
+    for r in made.collect():
+        found.setdefault(r.file.rsplit("/", 1)[1], []).append(r)
+    return {file: document(rows) for file, rows in found.items()}
+
+
 def write(folder, name, text):
     (folder / name).write_text(text)
     return str(folder / name)
@@ -29,24 +40,40 @@ def test_upload_to_report_and_back(spark, tmp_path):
     made = reports.confirm_mapping(df, mapping, stamp=False)
     out = str(tmp_path / "out")
     files.write_reports(reports.report_json(made), out)
-    body = json.loads(spark.read.json(out).first().report_json)
+    body = document(spark.read.json(out).collect())
     assert body["total_revenue"] == 30.5 and body["total_orders"] == 2
     assert body["region_wise_sales"] == [{"region": "EU", "revenue": 20.0}]
-    files.write_reports(made, str(tmp_path / "pq"), "parquet")
+    files.write_reports(made.summary, str(tmp_path / "pq"), "parquet")
     assert spark.read.parquet(str(tmp_path / "pq")).first().total_orders == 2
     with pytest.raises(ValueError):
-        files.write_reports(made, out, "xml")
+        files.write_reports(made.summary, out, "xml")
+
+
+def test_each_file_is_read_by_its_own_content(spark, tmp_path):
+    write(tmp_path, "plain.csv", '\n\na,b\n1,"x"\n2,y\n')
+    write(tmp_path, "broken.csv", 'a,b\n3,"x\ny"\n4,z\n')
+    (tmp_path / "mixed.csv").write_bytes(b"a,b\r\n5,u\n6,v\r\n")
+    found = {r.file.rsplit("/", 1)[1]: r for r in files.scan_lines(spark, str(tmp_path)).collect()}
+    assert {k: (r.header, r.open_quotes) for k, r in found.items()} == {
+        "plain.csv": ("a,b", False), "broken.csv": ("a,b", True), "mixed.csv": ("a,b", False),
+    }
+    got = files.read_upload(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [
+        ("1", "x"), ("2", "y"), ("3", "x\ny"), ("4", "z"), ("5", "u"), ("6", "v"),
+    ]
+    headers, cells = files.read_uploads(spark, str(tmp_path))
+    assert headers.count() == 6 and cells.count() == 6
+    plan = files.scan_lines(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
 
 
-def test_large_files_are_split_only_without_open_quotes(spark, tmp_path):
-    plain = write(tmp_path, "plain.csv", 'a,b\n1,"x"\n2,y\n')
-    broken = write(tmp_path, "broken.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    assert not files.scan_lines(spark, plain).first().open_quotes
-    assert files.scan_lines(spark, broken).first().open_quotes
-    for path in (plain, broken):
-        small = files.read_upload(spark, path).collect()
-        assert len(small) == 2
-        assert files.read_upload(spark, path, whole_file_bytes=0).collect() == small
+def test_a_folder_without_a_usable_file(spark, tmp_path):
+    folder = tmp_path / "uploads"
+    folder.mkdir()
+    write(folder, "c.csv", "note,when\nhello,2024-01-01\n")
+    store_uploads(spark, str(folder), str(tmp_path / "stored"))
+    made = reports_of_uploads(spark, str(tmp_path / "stored"))
+    assert made.columns == ["file", "part", "position", "text"] and made.count() == 0
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -82,10 +109,7 @@ def test_folder_of_different_files_to_reports(spark, tmp_path):
     mapping = store_uploads(spark, str(folder), stored)
     lost = {r.file.rsplit("/", 1)[1]: r.missing for r in unusable_files(mapping).collect()}
     assert lost == {"c.csv": ["revenue"]}
-    got = {
-        r.file.rsplit("/", 1)[1]: json.loads(r.report_json)
-        for r in reports_of_uploads(spark, stored, stamp=False).collect()
-    }
+    got = by_file(reports_of_uploads(spark, stored, stamp=False))
     assert set(got) == {"a.csv", "b.csv", "d.csv"}
     assert got["a.csv"]["total_revenue"] == 30.5
     assert got["a.csv"]["region_wise_sales"] == [{"region": "Paris, FR", "revenue": 10.5}]
@@ -105,10 +129,8 @@ def test_many_marketing_files_count_what_they_lack(spark, tmp_path):
     write(folder, "short.csv", "day,campaign,cost,revenue\n2024-01-05,c,2,5\n2024-01-06,c,2,5\n")
     stored = str(tmp_path / "stored")
     store_uploads(spark, str(folder), stored, "marketing")
-    got = {
-        r.file.rsplit("/", 1)[1]: json.loads(r.report_json)["campaign_performance"][0]
-        for r in reports_of_uploads(spark, stored, "marketing").collect()
-    }
+    made = by_file(reports_of_uploads(spark, stored, "marketing"))
+    got = {file: body["campaign_performance"][0] for file, body in made.items()}
     assert got["full.csv"]["clicks"] == 8 and got["short.csv"]["clicks"] == 2
     assert got["full.csv"]["conversions"] == got["short.csv"]["conversions"] == 2
     assert got["full.csv"]["roas"] == got["short.csv"]["roas"] == 2.5

@@ -8,22 +8,28 @@ FULL = '{"summary": "s", "problems": ["p"], "recommendations": ["r", "t"]}'
 
 def reports(spark):
     return spark.createDataFrame(
-        [("t", "sales", 0, '{"n":1}'), ("m", "marketing", 0, '{"n":2}'),
-         ("m", "marketing", 1, '{"n":3}')],
-        "tenant STRING, domain STRING, part INT, report_json STRING",
+        [("t", "sales", 0, 0, '{"n":['), ("t", "sales", 2, 0, "]}"),
+         ("m", "marketing", 0, 0, '{"n":['), ("m", "marketing", 1, 0, "1"),
+         ("m", "marketing", 1, 1, ",2"), ("m", "marketing", 2, 0, "]}")],
+        "tenant STRING, domain STRING, part INT, position BIGINT, text STRING",
     )
 
 
+def joined(rows, column="prompt"):
+    return "".join(r[column] for r in sorted(rows, key=lambda r: (r.part, r.position)))
+
+
 def test_insight_prompts(spark):
-    got = {(r.tenant, r.part): r for r in prompts.insight_prompts(reports(spark)).collect()}
-    assert got["t", 0].prompt == 'Here is the KPI data:\n\n{"n":1}'
+    rows = prompts.insight_prompts(reports(spark)).collect()
+    got = {(r.tenant, r.part): r for r in rows}
+    assert joined(r for r in rows if r.tenant == "t") == 'Here is the KPI data:\n\n{"n":[]}'
     assert got["t", 0].system_prompt == schema.SYSTEM_PROMPTS["sales"]
     assert got["m", 0].system_prompt.startswith("You are an expert Marketing analyst")
 
 
 def test_chat(spark):
     questions = spark.createDataFrame(
-        [(1, "t", "why?"), (2, "m", "how?"), (3, "none", "who?")],
+        [(1, "t", "why?"), (2, "m", "how?"), (2, "m", "and?"), (3, "none", "who?")],
         "conv_id INT, tenant STRING, question STRING",
     )
     history = spark.createDataFrame(
@@ -31,16 +37,18 @@ def test_chat(spark):
         "conv_id INT, turn INT, role STRING, text STRING",
     )
     asked = prompts.chat_prompts(questions, reports(spark), ("tenant",))
-    text = asked.where("conv_id = 1").first().prompt
-    assert text == (
-        'Business sales KPI data:\n{"n":1}\n\nUser question: why?\n\n'
+    assert joined(asked.where("conv_id = 1").collect()) == (
+        'Business sales KPI data:\n{"n":[]}\n\nUser question: why?\n\n'
         "Answer using only the data above. Be specific and concise."
     )
-    assert asked.where("conv_id = 2").first().prompt.startswith("Business marketing campaign KPI")
-    messages = prompts.chat_messages(asked, history, "conv_id").orderBy("conv_id", "turn").collect()
-    assert [(r.conv_id, r.turn, r.role) for r in messages] == [
+    how = joined(asked.where("conv_id = 2 AND question = 'how?'").collect())
+    assert how.startswith('Business marketing campaign KPI data:\n{"n":[1,2]}\n\nUser question: how?')
+    messages = prompts.chat_messages(asked, history, "conv_id")
+    heads = messages.where("part = 0").orderBy("conv_id", "turn").collect()
+    assert [(r.conv_id, r.turn, r.role) for r in heads] == [
         (1, 0, "user"), (2, 1, "assistant"), (2, 4, "user"), (2, 5, "user"), (2, 6, "user"),
     ]
+    assert joined(messages.where("conv_id = 2 AND turn = 6").collect(), "text") == how
     _, waiting = prompts.split_by_readiness(questions, reports(spark), ("tenant",))
     assert [r.conv_id for r in waiting.collect()] == [3]
 

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from tallywright.plans.oracles import SQL
+from tallywright.plans.queries import QUERIES
 from tests.compare import connect, expected, rows
 
 
@@ -12,10 +14,10 @@ def engine(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(name, spark, sf_dir, engine):
     got = rows(entry.queries()[name](spark, sf_dir).toArrow())
     want = rows(expected(engine, entry.oracle_sql()[name]))
@@ -23,4 +25,4 @@ def test_query(name, spark, sf_dir, engine):
 
 
 def test_entry(spark, sf_dir):
-    assert entry.entry(spark).columns == ["tenant", "part", "report_json"]
+    assert entry.entry(spark).columns == ["tenant", "part", "position", "text"]
