@@ -338,7 +338,7 @@ _EVENT_JSON = """'{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-
     || ',"props":' || to_json(props) || '}'"""
 SQL["upload_profile"] = f"""SELECT 'marketing' AS analyst_type,
     'event_id,ts,user_id,event_type,value,props' AS columns_found,
-    'campaign=,clicks=,conversions=,date=,impressions=,revenue=value,spend=' AS suggested_mapping,
+    'campaign=,clicks=,conversions=,date=,impressions=,revenue=,spend=' AS suggested_mapping,
     (SELECT count(*) FROM events) AS row_count,
     string_agg({_EVENT_JSON.replace('{user}', ',"user_id":' + "' || user_id || '")}, chr(10)
         ORDER BY event_id) AS preview
