@@ -37,6 +37,8 @@ def as_number(c: Column, kind: T.DataType) -> Column:
         return finite(F.when(c.rlike(NUMBER), c.try_cast("double")))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return finite(c.cast("double"))
+    if isinstance(kind, T.DecimalType):  # to the nearest double of the decimal's own text
+        return c.cast("string").cast("double")
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return c.cast("double")
     return F.lit(None).cast("double")
@@ -56,6 +58,47 @@ def as_moment(c: Column, kind: T.DataType, formats: Sequence[str] = ()) -> Colum
     return F.coalesce(*tries)
 
 
+# Ways to write a date, in the order of their numbers: ISO, then year, month or day first. Any of
+# / . - may stand between the numbers.
+_WRITTEN = (None, "yyyy/M/d", "M/d/yyyy", "d/M/yyyy")
+
+
+def date_style(cell: Column) -> Column:
+    """The number of the style that a date text is written in, null if none fits. Where day and
+    month could be either, the month comes first."""
+    leading = F.regexp_extract(cell, r"^\s*(\d{1,2})[/.-]\d{1,2}[/.-]\d{4}", 1).try_cast("int")
+    return (
+        F.when(cell.rlike(ISO_DATE), 0)
+        .when(cell.rlike(r"^\s*\d{4}[/.-]\d{1,2}[/.-]\d{1,2}"), 1)
+        .when(leading > 12, 3)
+        .when(leading.isNotNull(), 2)
+    )
+
+
+def with_inferred_dates(
+    df: DataFrame, file: Sequence[str], order: str, column: str = "date"
+) -> DataFrame:
+    """Text dates of many files as timestamps, each file's by the style of its first date.
+
+    That is the cell with the least ``order`` among the file's cells that are not null, found by
+    hash aggregation and looked up. Cells of another style become null, ISO text is always read.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return df
+    cells = df.select(*file, order, column).where(F.col(column).isNotNull())
+    firsts = cells.groupBy(*file).agg(F.min(order).alias(order))
+    styles = cells.join(firsts, [*file, order]).groupBy(*file).agg(
+        F.min(date_style(F.col(column))).alias("_style")
+    )
+    day = F.regexp_replace(F.regexp_extract(column, r"^\s*([\d/.-]+)", 1), "[.-]", "/")
+    moment = as_moment(F.col(column), T.StringType())
+    for number, written in enumerate(_WRITTEN):
+        if written:
+            read = F.try_to_timestamp(day, F.lit(written)).cast("timestamp_ntz")
+            moment = F.coalesce(moment, F.when(F.col("_style") == number, read))
+    return df.join(styles, list(file), "left").withColumn(column, moment).drop("_style").select(*df.columns)
+
+
 def rename_by_mapping(df: DataFrame, mapping: Mapping[str, str | None]) -> DataFrame:
     """Give the chosen source columns their standard names.
 

@@ -77,6 +77,28 @@ def map_columns(headers: DataFrame, domain: str = "sales") -> DataFrame:
     )
 
 
+def correct_mapping(mapping: DataFrame, headers: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The mapping with the choices ``(file, field, source_column)`` that someone made instead.
+
+    A null choice takes the field away; a column that the file does not have counts as null.
+    """
+    places = headers.groupBy("file", F.col("column").alias("_chosen")).agg(
+        F.min("col_pos").cast("bigint").alias("_pos")
+    )
+    chosen = corrections.select("file", "field", F.col("source_column").alias("_chosen")).join(
+        places, ["file", "_chosen"], "left"
+    )
+    made = F.col("_made").isNotNull()
+    name = F.when(F.col("_pos").isNotNull(), F.col("_chosen"))
+    return mapping.join(chosen.withColumn("_made", F.lit(1)), ["file", "field"], "left").select(
+        "file",
+        "field",
+        F.when(made, name).otherwise(F.col("source_column")).alias("source_column"),
+        F.when(made, F.col("_pos")).otherwise(F.col("col_pos")).alias("col_pos"),
+        F.when(made, F.lit(None)).otherwise(F.col("score")).alias("score"),
+    )
+
+
 def suggest_mapping(columns: Sequence[str], domain: str = "sales") -> dict[str, str | None]:
     """Field -> column for the header of one table, at the API edge."""
     aliases = schema.ALIASES[schema.domain_of(domain)]

@@ -53,6 +53,39 @@ def profile_files(df: DataFrame, file: str, order: Sequence[str]) -> DataFrame:
     )
 
 
+def profile_uploads(headers: DataFrame, rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """A row about each file of a folder: ``(file, columns_found, suggested_mapping, row_count,
+    preview)``.
+
+    ``headers`` is (file, col_pos, column), ``rows`` (file, row, cells), ``mapping`` (file, field,
+    source_column). The gathered lists are as long as a header or five rows.
+    """
+    columns = headers.groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("col_pos", "column"))).alias("_columns")
+    )
+    fields = mapping.groupBy("file").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "source_column"))).alias(
+            "suggested_mapping"
+        )
+    )
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("row_count"))
+    first = Window.partitionBy("file").orderBy("row")
+    shown = (
+        rows.withColumn("_place", F.row_number().over(first))
+        .where(F.col("_place") <= PREVIEW)
+        .groupBy("file")
+        .agg(F.sort_array(F.collect_list(F.struct("_place", "cells"))).alias("_rows"))
+    )
+    joined = columns.join(fields, "file", "left").join(counts, "file", "left")
+    return joined.join(shown, "file", "left").select(
+        "file",
+        F.transform("_columns", lambda c: c["column"]).alias("columns_found"),
+        "suggested_mapping",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.transform("_rows", lambda r: r["cells"]).alias("preview"),
+    )
+
+
 def latest_upload(
     uploads: DataFrame, by: Sequence[str] = ("tenant",), at: str = "uploaded_at",
     upload_id: str = "upload_id",

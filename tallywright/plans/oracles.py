@@ -282,6 +282,16 @@ SQL["coerce_dates"] = f"""WITH c AS (
     THEN TRY_CAST(cell AS TIMESTAMP) END, try_strptime(cell, '%m/%d/%Y')) AS moment FROM c)
 SELECT kind, count(*) AS n, count(moment) AS ok, CAST(min(moment) AS VARCHAR) AS first,
     CAST(max(moment) AS VARCHAR) AS last FROM v GROUP BY kind"""
+SQL["dates_by_file"] = f"""WITH c AS ({accounts.DATE_FILES_SQL}), f AS (
+    SELECT file, arg_min(date, row) AS cell FROM c WHERE date IS NOT NULL GROUP BY file), p AS (
+    SELECT c.file, CASE WHEN cell LIKE '____-%' THEN try_strptime(date, '%Y-%m-%d')
+        WHEN cell LIKE '____/%' THEN try_strptime(date, '%Y/%m/%d')
+        WHEN CAST(substr(cell, 1, 2) AS INT) > 12
+        THEN try_strptime(replace(date, '.', '/'), '%d/%m/%Y')
+        ELSE try_strptime(replace(date, '.', '/'), '%m/%d/%Y') END AS moment
+    FROM c JOIN f ON c.file = f.file)
+SELECT file, count(*) AS n, count(*) - count(moment) AS dropped, CAST(min(moment) AS VARCHAR) AS first,
+    CAST(max(moment) AS VARCHAR) AS last FROM p GROUP BY file"""
 SQL["na_tokens"] = f"""WITH c AS (SELECT l_linenumber, {accounts.DIRTY_CELL} AS cell FROM lineitem)
 SELECT l_linenumber, CASE WHEN cell NOT IN ({', '.join(map(_text, schema.NA_TOKENS))}) THEN cell END
     AS cell, count(*) AS n FROM c GROUP BY ALL"""

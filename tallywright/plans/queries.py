@@ -212,6 +212,25 @@ def coerce_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def dates_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four ways to write dates, each read in the way of its first date."""
+    cells = spark.sql(
+        sample_accounts.DATE_FILES_SQL.replace("FROM orders", "FROM {orders}"),
+        orders=table(spark, sf_dir, "orders"),
+    )
+    return (
+        coerce.with_inferred_dates(cells, ("file",), "row")
+        .groupBy("file")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("date").isNull()).alias("dropped"),
+            F.min("date").cast("string").alias("first"),
+            F.max("date").cast("string").alias("last"),
+        )
+    )
+
+
 @query
 def na_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select(

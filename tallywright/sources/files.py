@@ -94,8 +94,8 @@ def read_uploads(
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of CSV files, each with a header of its own.
 
-    Gives ``(file, col_pos, column)`` for the headers and ``(file, cells)`` for the rows, as wide as
-    the widest header. One pass over the lines finds the headers and the files with cells that
+    Gives ``(file, col_pos, column)`` for the headers and ``(file, row, cells)`` for the rows, as
+    wide as the widest header; ``row`` rises within a file. One pass over the lines finds the headers and the files with cells that
     span lines; the others are split between tasks whatever their size.
     """
     check_format(path)
@@ -108,14 +108,20 @@ def read_uploads(
         "file", F.posexplode(F.array(*[f"h.{n}" for n in names])).alias("col_pos", "column")
     )
     rows = [
-        reader.schema(wide).csv(paths).select("*", F.col("_metadata.file_path").alias("_file"))
+        reader.schema(wide).csv(paths).select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
         for reader, paths in _read(spark, path, _open_files(found))
     ]
-    nothing = spark.createDataFrame([], f"{wide}, _file STRING")
+    nothing = spark.createDataFrame([], f"{wide}, _file STRING, _row BIGINT")
     cells = drop_na_tokens(reduce(DataFrame.unionByName, rows, nothing), na_tokens)
     return (
         headers.where(F.col("column").isNotNull()),
-        cells.select(F.col("_file").alias("file"), F.array(*names).alias("cells")),
+        cells.select(
+            F.col("_file").alias("file"), F.col("_row").alias("row"), F.array(*names).alias("cells")
+        ),
     )
 
 

@@ -33,6 +33,15 @@ DIRTY_DATE = f"""CASE o_orderkey % 9
     WHEN 4 THEN '45000' WHEN 5 THEN substr({D}, 1, 4) WHEN 6 THEN substr({D}, 1, 4) || '-02-30'
     WHEN 7 THEN 'on ' || {D} END"""
 
+# Orders as files by the way their dates are written, a few cells missing.
+DATE_FILES_SQL = f"""SELECT CAST(o_orderkey % 4 AS STRING) AS file, o_orderkey AS row,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN {D}
+        WHEN o_orderkey % 4 = 1
+        THEN substr({D}, 6, 2) || '/' || substr({D}, 9, 2) || '/' || substr({D}, 1, 4)
+        WHEN o_orderkey % 4 = 2
+        THEN substr({D}, 9, 2) || '.' || substr({D}, 6, 2) || '.' || substr({D}, 1, 4)
+        ELSE replace({D}, '-', '/') END AS date FROM orders"""
+
 DIRTY_CELL = """CASE l_linenumber WHEN 1 THEN 'NA' WHEN 2 THEN 'null' WHEN 3 THEN ''
     WHEN 4 THEN 'n/a' ELSE l_returnflag END"""
 

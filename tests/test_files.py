@@ -4,6 +4,7 @@ import pytest
 
 from tallywright.operators import coerce
 from tallywright.operators.mapping import unusable_files
+from tallywright.operators.uploads import profile_uploads
 from tallywright.plans import reports
 from tallywright.plans.intake import reports_of_uploads, store_uploads
 from tallywright.sources import files
@@ -134,3 +135,27 @@ def test_many_marketing_files_count_what_they_lack(spark, tmp_path):
     assert got["full.csv"]["clicks"] == 8 and got["short.csv"]["clicks"] == 2
     assert got["full.csv"]["conversions"] == got["short.csv"]["conversions"] == 2
     assert got["full.csv"]["roas"] == got["short.csv"]["roas"] == 2.5
+
+
+def test_corrected_mapping_domains_and_dates_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "uploads"
+    folder.mkdir()
+    write(folder, "a.csv", "Order Date,Amt,Revenue\n15.01.2024,1,10\n16.02.2024,2,20\n2024-02-17,3,30\n")
+    write(folder, "b.csv", "Order Date,Revenue\n01/15/2024,5\n02/16/2024,7\n30/30/2024,9\n")
+    write(folder, "c.csv", "day,campaign,cost\n2024-01-01,x,5\n")
+    headers, rows = files.read_uploads(spark, str(folder))
+    uri = {r.file[-5]: r.file for r in headers.select("file").distinct().collect()}
+    corrections = spark.createDataFrame([(uri["a"], "revenue", "Amt")], "file STRING, field STRING, source_column STRING")
+    domains = spark.createDataFrame(
+        [(uri["a"], "sales"), (uri["b"], "sales"), (uri["c"], "marketing")], "file STRING, domain STRING"
+    )
+    stored = str(tmp_path / "stored")
+    mapping = store_uploads(spark, str(folder), stored, corrections=corrections, domains=domains)
+    assert {r.source_column for r in mapping.where("field = 'revenue'").collect()} == {"Amt", "Revenue"}
+    got = by_file(reports_of_uploads(spark, stored, stamp=False))
+    assert set(got) == {"a.csv", "b.csv"}
+    assert (got["a.csv"]["total_revenue"], got["a.csv"]["total_orders"]) == (6.0, 3)
+    assert (got["b.csv"]["total_revenue"], got["b.csv"]["total_orders"]) == (12.0, 2)
+    about = {r.file.rsplit("/", 1)[1]: r for r in profile_uploads(headers, rows, mapping).collect()}
+    assert about["b.csv"].columns_found == ["Order Date", "Revenue"] and about["b.csv"].row_count == 3
+    assert about["a.csv"].suggested_mapping["revenue"] == "Amt" and len(about["a.csv"].preview) == 3
