@@ -90,7 +90,7 @@ def blocks(layout: Layout, level: int, keys: np.ndarray, counts: np.ndarray) ->
 
 
 def counted(
-    rows: DataFrame, layout: Layout, level: int, read: Callable[[Iterator], Iterator[np.ndarray]], most: int = 3_000_000
+    rows: DataFrame, layout: Layout, level: int, read: Callable[[Iterator], Iterator[np.ndarray]], most: int = 1_500_000
 ) -> DataFrame:
     """Blocks of counts of all keys that ``read`` finds in the rows, summed within each task as far
     as ``most`` keys go."""

@@ -15,7 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 #: Texts are worked on in runs of about so many bytes; one longer text is a run of its own.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -30,16 +30,16 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(
-    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 16
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 16, size: int = RUN_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``RUN_BYTES`` of text and at most ``most`` rows."""
+    """The rows of the batches in slices of about ``size`` bytes of text and at most ``most`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = text_bytes(batch.column(text))
         begin = 0
         while begin < batch.num_rows:
-            end = int(np.searchsorted(at, at[begin] + RUN_BYTES, "right")) - 1
+            end = int(np.searchsorted(at, at[begin] + size, "right")) - 1
             end = min(max(end, begin + 1), begin + most, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
