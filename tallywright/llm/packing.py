@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from tallywright.llm.positions import with_positions
 from tallywright.llm.text import pieces, runs, text_bytes
 
-#: Distinct chunks whose ids a Python worker remembers; past it, the memory starts anew.
+#: Distinct chunks whose ids a task remembers; past it, the memory starts anew.
 REMEMBERED = 400_000
+#: Bytes of text worked on at once: the more, the fewer chunks are new in each.
+RUN = 8 << 20
 
 
 @lru_cache(maxsize=1)
@@ -95,7 +97,7 @@ def token_pieces(
     tokens, its end token counted, is cut from the back, so its first piece may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, size=RUN):
             flat, at = encode(batch.column("text"), tokenizer)
             own, rows = batch.column("id").to_pylist(), []
             for number, doc in enumerate(own):
@@ -111,6 +113,7 @@ def token_pieces(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        _tokenizer(tokenizer)[1].clear()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
