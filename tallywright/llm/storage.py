@@ -14,9 +14,11 @@ def shared_folder(spark: SparkSession) -> str:
     A cluster without the setting is refused: a folder of one machine would lose data there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
         return folder.rstrip("/")
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
