@@ -16,6 +16,8 @@ from tallywright.llm.text import SPACE, runs, shingles, text_bytes, words
 
 BITS, ORDER = 11, 5
 START, END, FIRST = 0, 1, 2
+#: Bytes of text worked on at once.
+RUN = 2 << 20
 #: Characters below have a symbol of their own, those above share the rest by their code.
 PLAIN = 1024
 SIGNS = np.zeros(256, bool)
@@ -33,12 +35,13 @@ def _windows(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner = np.ones(len(symbols), bool)
     inner[first[1:] - 1] = False
     symbols[inner] = FIRST + np.where(codes < PLAIN, codes, PLAIN + codes % (2**BITS - PLAIN - FIRST))
-    place = np.arange(len(symbols)) - np.repeat(first[:-1], size + 1)
     keys = symbols.copy()
     for back in range(1, ORDER):
-        earlier = np.full(len(symbols), START, np.uint64)
-        earlier[back:] = symbols[:-back] if back < len(symbols) else symbols[:0]
-        earlier[place < back] = START
+        earlier = np.zeros(len(symbols), np.uint64)
+        earlier[back:] = symbols[:-back]
+        for step in range(back):  # places whose window begins before the text
+            places = first[:-1] + step
+            earlier[places[places < first[1:]]] = START
         keys |= earlier << np.uint64(back * BITS)
     group = [zlib.crc32((x or "").encode()) % 2 ** (64 - ORDER * BITS) for x in lang.to_pylist()]
     keys |= np.repeat(np.array(group, np.uint64), size + 1) << np.uint64(ORDER * BITS)
@@ -81,6 +84,21 @@ def rule_counts(text: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def _ids(trusted: DataFrame, shards: int) -> kn.Table:
+    """The ids as a table of sorted hashes, so that texts need not be shuffled to be matched."""
+    folder = kn.local_path(new_folder(trusted.sparkSession, "trusted"))
+    layout = kn.Layout(folder, 1, 0, shards)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield batch.column("key").to_numpy().view(np.uint64)
+
+    keys = kn.counted(trusted.select(F.xxhash64(F.col("id").cast("string")).alias("key")), layout, 0, read)
+    found = kn.tables(kn.merged(keys, layout, 0).collect(), layout)
+    none = np.zeros(shards, np.int64)
+    return found.get(0) or kn.Table(layout, 0, none > 0, none, 0, kn.discounts(np.zeros(4)))
+
+
 def judge(
     docs: DataFrame,
     trusted: DataFrame | None = None,
@@ -105,22 +123,29 @@ def judge(
     rows count each. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    trusting = trusted is not None
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    training = slim if trusted is None else slim.join(trusted.select("id").distinct(), "id", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = kn.Layout(kn.local_path(new_folder(spark, "characters")), ORDER, BITS, parts)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in runs(batches):
-            yield _windows(batch.column("text"), batch.column("lang"))[0]
+    chosen = spark.sparkContext.broadcast(_ids(trusted, parts) if trusted is not None else None)
 
-    counted = kn.counted(training.select("text", "lang"), layout, ORDER, read)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in runs(batches, size=RUN):
+            if trusting:
+                known = chosen.value.find(batch.column("key").to_numpy().view(np.uint64))[0] > 0
+                batch = batch.filter(pa.array(known))
+            if batch.num_rows:
+                yield _windows(batch.column("text"), batch.column("lang"))[0]
+
+    training = slim.select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("key"))
+    counted = kn.counted(training, layout, ORDER, read)
     model = spark.sparkContext.broadcast(kn.fit(counted, layout))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in runs(batches, size=RUN):
             text, lang = batch.column("text"), batch.column("lang")
             windows, first = _windows(text, lang)
             keys, back = np.unique(windows, return_inverse=True)
