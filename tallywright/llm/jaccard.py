@@ -271,8 +271,9 @@ def similar_sets(
     sets are one class, and links between classes come from exact overlap counts.
 
     Returns ``id_col``, n_shingles, component_id (least id reachable). Null and empty texts have
-    no n-grams and are components of their own. Repeated ids get a row each. An empty table gives
-    no rows. Other columns are not read.
+    no n-grams and are components of their own. Repeated ids get a row each. Rows without an id
+    belong to the component of an equal text, but a text that only such rows have links with no
+    other. An empty table gives no rows. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     light = set_keys(slim, size)
