@@ -12,6 +12,9 @@ from tallywright.llm.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A target of fewer blocks is settled in words, as whole blocks would miss it by too large a share.
+FEW = 64
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -72,9 +75,20 @@ def apportion(sources: DataFrame, block: int, blocks: int, shards: int) -> DataF
     )
 
 
+def settle_few(sources: DataFrame, block: int) -> DataFrame:
+    """Awards of sources with a target of fewer than ``FEW`` blocks: as many as can be needed to
+    reach it, short last blocks included. Returns place, award."""
+    tries = F.ceil(F.col("target") / block).cast("int") + 2
+    return sources.filter((F.col("target") > 0) & (F.col("target") < FEW * block)).select(
+        "place", F.explode(F.sequence(F.lit(0), tries)).alias("award")
+    )
+
+
 def choose_blocks(sources: DataFrame, awards: DataFrame, block: int, seed: int) -> DataFrame:
     """Which blocks of each source's seeded order the awards take: every block once in an order
-    drawn by the seed, then a second time in another. Returns place, award, shard, block."""
+    drawn by the seed, then a second time in another. A source with a target of fewer than ``FEW``
+    blocks gets words up to its target, of the last block the first ones only. Returns place,
+    award, block, length and words taken."""
     count = F.ceil(F.col("source_size") / block).cast("int")
     drawn = Window.partitionBy("place", "epoch").orderBy(
         F.xxhash64(F.lit(seed), "place", "epoch", "block"), "block"
@@ -82,11 +96,23 @@ def choose_blocks(sources: DataFrame, awards: DataFrame, block: int, seed: int)
     passes = (
         sources.filter((F.col("target") > 0) & (F.col("source_size") > 0))
         .withColumn("count", count)
-        .select("place", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("block"))
+        .select(
+            "place", "target", "source_size", "count",
+            F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("block"),
+        )
         .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
         .withColumn("award", F.col("epoch") * F.col("count") + F.row_number().over(drawn) - 1)
+        .withColumn("length", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * F.lit(block).cast("long")))
+    )
+    reached = F.sum("length").over(Window.partitionBy("place").orderBy("award")) - F.col("length")
+    left = F.greatest(F.round("target").cast("long") - reached, F.lit(0).cast("long"))
+    words = F.when(F.col("target") < FEW * block, F.least("length", left)).otherwise(F.col("length"))
+    return (
+        awards.join(passes, ["place", "award"])
+        .withColumn("words", words)
+        .filter("words > 0")
+        .select("place", "award", "block", "length", "words")
     )
-    return awards.join(passes.select("place", "award", "block"), ["place", "award"])
 
 
 def mix_sources(
@@ -104,9 +130,10 @@ def mix_sources(
     """How many words the mix takes of each document.
 
     A source is one run of words, its documents in an order drawn by ``seed``, cut into blocks of
-    equal length. ``shards * blocks_per_shard`` blocks in all (at least eight a source) are
-    apportioned; a source's blocks are chosen by the seed, none more than twice, so no document is
-    taken more than twice. A block may begin and end inside documents.
+    equal length, ``shards * blocks_per_shard`` to the whole mix. Sources with a target of ``FEW``
+    blocks or more are apportioned whole blocks; a smaller one gets its target to the word, with a
+    part of its last block. A source's blocks are chosen by the seed, none more than twice, so no
+    document is taken more than twice. A block may begin and end inside documents.
 
     Returns ``id_col``, size (words; null text: 0), source_size, target, taken, the source and
     text_key, a hash of the text that tells apart rows of one id. A
@@ -123,23 +150,32 @@ def mix_sources(
     )
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = stored(targets(sizes, weights, share, most))
-    tokens, number = sources.agg(F.sum("source_size"), F.count("*")).first()
-    wanted = share * (tokens or 0)
-    aim = shards * max(blocks_per_shard, -(-8 * number // shards))
-    block = max(1, int(-(-wanted // aim)))
-    awards = apportion(sources, block, max(1, round(wanted / block)), shards)
+    tokens = sources.agg(F.sum("source_size")).first()[0]
+    block = max(1, int(-(-share * (tokens or 0) // (shards * blocks_per_shard))))
+    many = sources.filter(F.col("target") >= FEW * block)
+    wanted = many.agg(F.sum("target")).first()[0]
+    awards = apportion(many, block, max(1, round((wanted or 0) / block)), shards).select("place", "award")
+    full = F.col("words") == F.col("length")
     times = (
-        choose_blocks(sources, awards, block, seed)
+        choose_blocks(sources, awards.union(settle_few(sources, block)), block, seed)
         .groupBy("place", "block")
-        .agg(F.count("*").alias("times"))
+        .agg(
+            F.count_if(full).alias("times"),
+            F.sum(F.when(full, 0).otherwise(F.col("words"))).alias("part"),
+        )
         .groupBy("place")
-        .agg(F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("times"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("block", F.struct("times", "part")))).alias("times")
+        )
     )
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     facts = stored(
         sources.withColumn("start", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .join(times, "place", "left")
-        .withColumn("times", F.coalesce("times", F.expr("cast(map() as map<int, bigint>)")))
+        .withColumn(
+            "times",
+            F.coalesce("times", F.expr("cast(map() as map<int, struct<times: bigint, part: bigint>>)")),
+        )
     )
     rows = light.withColumn("order_key", F.xxhash64(F.lit(seed), "id", "text_key")).withColumn(
         "last", F.col("source").isNull()
@@ -154,15 +190,20 @@ def mix_sources(
         F.floor(F.col("begin") / block).cast("int"),
         F.floor((F.col("begin") + F.col("size") - 1) / block).cast("int"),
     )
+    end = F.col("begin") + F.col("size")
+
+    def overlap(b: Column, length: Column) -> Column:
+        first = b.cast("long") * block
+        inside = F.least(end, first + length) - F.greatest(F.col("begin"), first)
+        return F.greatest(inside, F.lit(0).cast("long"))
+
+    none = F.lit(0).cast("long")
     part = F.aggregate(
         span,
-        F.lit(0).cast("long"),
+        none,
         lambda total, b: total
-        + F.coalesce(F.col("times")[b], F.lit(0))
-        * (
-            F.least(F.col("begin") + F.col("size"), (b.cast("long") + 1) * block)
-            - F.greatest(F.col("begin"), b.cast("long") * block)
-        ),
+        + F.coalesce(F.col("times")[b]["times"], none) * overlap(b, F.lit(block).cast("long"))
+        + overlap(b, F.coalesce(F.col("times")[b]["part"], none)),
     )
     # A row per source, with the blocks apportioned above: bounded by those two numbers.
     facts = F.broadcast(facts.withColumnRenamed("source", "own_source"))

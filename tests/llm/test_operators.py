@@ -273,6 +273,23 @@ def test_mixing(odd, odd_rows, empty, spark):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_meets_small_targets_beside_a_hot_source(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 400), "hot") for i in range(1000)]
+    for source, n in (("tiny", 60), ("small", 200), ("some", 300)):
+        rows += [(len(rows) + k, prose(rng, 20), source) for k in range(n // 20)]
+    rows.append((len(rows), prose(rng, 7), None))
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    want = {r.source: r.target for r in got}
+    assert {s: want[s] for s in ("tiny", "small", "some", None)} == {"tiny": 120, "small": 400, "some": 600, None: 14}
+    for s, t in want.items():
+        assert taken[s] == pytest.approx(t, rel=0.01)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     rows, next_id = [], 0
