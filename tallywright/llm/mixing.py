@@ -223,15 +223,49 @@ def mix_sources(
 
 
 def apply_mix(
-    docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame,
+    mix: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 42,
 ) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole number: a text that
-    a block's edge cuts comes whole or not at all. Rows equal in id, text and source share what is
-    taken of them. Null ids and sources are matched like others."""
-    copies = mix.filter("size > 0").groupBy(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("text_key").alias("__key")
-    ).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies"))
-    copies = copies.filter("__copies > 0")
+    """``docs`` with each row as often as the mix takes it, a text that a block's edge cuts one time
+    more or less: of a source's cut texts, those with the largest share taken of their rest come
+    once more, as many as hold the words that all of them are short of. So a source's words miss
+    what is taken of it by half a text at most. Rows equal in id, text and source share what is
+    taken of them and count as one text. Null ids and sources are matched like others."""
+    shares = stored(
+        mix.filter("size > 0")
+        .groupBy(
+            F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("text_key").alias("__key")
+        )
+        .agg(F.sum("size").alias("__size"), F.sum("taken").alias("__taken"))
+        .withColumn("__copies", F.expr("cast(__taken div __size as int)"))
+        .withColumn("__rest", F.col("__taken") % F.col("__size"))
+    )
+    keys = ["__last", "__source", "__share", "__order", "__id", "__key"]
+    cut = with_positions(
+        shares.filter("__rest > 0")
+        .withColumn("__last", F.col("__source").isNull())
+        .withColumn("__share", -F.col("__rest") / F.col("__size"))
+        .withColumn("__order", F.xxhash64(F.lit(seed), "__id", "__key"))
+        .select(*keys, "__size", "__rest", "__copies"),
+        keys,
+        ["__size"],
+    )
+    # A row per source.
+    short = F.broadcast(
+        cut.groupBy(F.col("__source").alias("__own_source")).agg(
+            F.min("before___size").alias("__start"), F.sum("__rest").alias("__short")
+        )
+    )
+    middle = F.col("before___size") - F.col("__start") + F.col("__size") / 2
+    settled = cut.join(short, F.col("__source").eqNullSafe(F.col("__own_source"))).withColumn(
+        "__copies", F.col("__copies") + (middle <= F.col("__short")).cast("int")
+    )
+    columns = ["__id", "__source", "__key", "__copies"]
+    copies = shares.filter("__rest = 0").select(*columns).union(settled.select(*columns)).filter("__copies > 0")
     same = (
         F.col(id_col).eqNullSafe(F.col("__id"))
         & F.col(source_col).eqNullSafe(F.col("__source"))

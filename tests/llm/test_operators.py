@@ -290,6 +290,22 @@ def test_mixing_meets_small_targets_beside_a_hot_source(spark):
         assert taken[s] == pytest.approx(t, rel=0.01)
 
 
+def test_applied_mix_meets_the_targets_of_long_documents(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 5000), "a") for i in range(6)] + [(100 + i, prose(rng, 3000), "b") for i in range(20)]
+    rows += [(200 + i, prose(rng, 2000), "c") for i in range(40)] + [(300 + i, prose(rng, 90), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").repartition(3)
+    mix = mixing.mix_sources(docs, share=0.6)
+    target = {r.source: r.target for r in mix.collect()}
+    assert target["b"] < 0.5 * 60_000 and target["c"] < 0.5 * 80_000
+    kept, longest = collections.Counter(), collections.Counter()
+    for r in mixing.apply_mix(docs, mix).collect():
+        kept[r.source] += len(r.text.split(" "))
+        longest[r.source] = max(longest[r.source], len(r.text.split(" ")))
+    for s, t in target.items():
+        assert abs(kept[s] - t) <= longest[s] / 2 + 0.01 * t
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     rows, next_id = [], 0
