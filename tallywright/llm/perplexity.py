@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +112,10 @@ def judge(
     """Word rules, and bands of perplexity per language that a text must lie in.
 
     An interpolated modified Kneser-Ney model of five characters per language is counted in Spark
-    over the texts with an id in ``trusted`` (a column id; None: all texts), kept as sorted hash
-    arrays, and scores every whole text. A language's bands lie around the median of log10
+    over the texts with an id in ``trusted`` (a column id), kept as sorted hash arrays, and scores
+    every whole text. A language without such a text (None: every language) is counted whole, as two
+    models of half the texts each; a text is scored by the model that has not seen it, or it would
+    be known by heart. With all its texts in one half it scores 0. A language's bands lie around the median of log10
     perplexity per character over all its texts that pass the base rules, ``width`` median absolute
     deviations to either side, at least ``least``; a short text's deviation is divided by
     sqrt(1 + 400 / characters), as its mean varies more.
@@ -123,31 +126,51 @@ def judge(
     rows count each. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    trusting = trusted is not None
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
+    half = F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(1).cast("long")), F.lit(0)).cast("int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = kn.Layout(kn.local_path(new_folder(spark, "characters")), ORDER, BITS, parts)
 
-    chosen = spark.sparkContext.broadcast(_ids(trusted, parts) if trusted is not None else None)
+    chosen = spark.sparkContext.broadcast(_ids(trusted, parts)) if trusted is not None else None
+    training = slim.select(
+        "text", "lang", half.alias("half"), F.xxhash64(F.col("id").cast("string")).alias("key")
+    )
+
+    def known(batch: pa.RecordBatch) -> np.ndarray:
+        return chosen.value.find(batch.column("key").to_numpy().view(np.uint64))[0] > 0
+
+    def languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.filter(pa.array(known(batch))).column("lang").unique()
+            yield pa.RecordBatch.from_arrays([found], ["lang"])
+
+    learnt = set()
+    if chosen is not None:  # a row per language goes to the driver
+        trusting = training.filter("text != ''").select("lang", "key").mapInArrow(languages, "lang string")
+        learnt = {r["lang"] for r in trusting.distinct().collect()}
+
+    def models(batch: pa.RecordBatch, other: int) -> pa.Array:
+        """The name of each text's model: its language, and where nothing is trusted a half."""
+        pairs = zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True)
+        return pa.array([x if x in learnt else f"{x or ''}\0{h ^ other}" for x, h in pairs], pa.string())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in runs(batches, size=RUN):
-            if trusting:
-                known = chosen.value.find(batch.column("key").to_numpy().view(np.uint64))[0] > 0
-                batch = batch.filter(pa.array(known))
+            if chosen is not None:
+                missing = ~pc.is_in(batch.column("lang"), pa.array(list(learnt), pa.string())).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(known(batch) | missing))
             if batch.num_rows:
-                yield _windows(batch.column("text"), batch.column("lang"))[0]
+                yield _windows(batch.column("text"), models(batch, 0))[0]
 
-    training = slim.select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("key"))
     counted = kn.counted(training, layout, ORDER, read)
     model = spark.sparkContext.broadcast(kn.fit(counted, layout))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, size=RUN):
             text, lang = batch.column("text"), batch.column("lang")
-            windows, first = _windows(text, lang)
+            windows, first = _windows(text, models(batch, 1))
             keys, back = np.unique(windows, return_inverse=True)
             logs = np.log10(kn.probabilities(model.value, layout, keys))[back]
             mean = -np.add.reduceat(logs, first[:-1]) / np.diff(first)
@@ -161,7 +184,7 @@ def judge(
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = f"id {kind}, lang string, {', '.join(f'{n} long' for n in numbers)}, log_perplexity double, symbols long"
     scored = stored(
-        slim.mapInArrow(score, schema)
+        slim.withColumn("half", half).mapInArrow(score, schema)
         .withColumn(
             "base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
         )

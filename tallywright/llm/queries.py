@@ -24,7 +24,7 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model learns from the documents labelled good."""
+    """The model learns from the documents labelled good, in a language without any from all."""
     good = table(spark, sf_dir, "labels").filter("quality = 1")
     return judge(table(spark, sf_dir, "documents"), good.withColumnRenamed("doc_id", "id"))
 

@@ -413,6 +413,20 @@ def test_rules_and_bands(odd, odd_rows, empty, spark):
     assert {r.doc_id for r in made if r.kept} == {i for i, *_ in good}
 
 
+def test_languages_without_trusted_rows_have_bands(spark):
+    rng = random.Random(13)
+    junk = lambda: "".join(rng.choice("#$%&*<>|0123456789QWXZ ") for _ in range(900))
+    rows = [(i, prose(rng, 150), ("en", "de", None)[i % 3]) for i in range(180)]
+    rows += [(1000 + i, junk(), ("en", "de", None)[i]) for i in range(3)]
+    got = perplexity.judge(
+        spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"),
+        spark.createDataFrame([(i,) for i in range(0, 180, 6)], "id BIGINT"),
+    ).collect()
+    assert not any(r.base_failed for r in got)
+    assert all(r.log_perplexity > 0 for r in got)
+    assert {r.doc_id for r in got if r.kept} == set(range(180))
+
+
 def test_quality(spark, odd, empty):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randrange(20, 90)) if i % 3 else "!! ".join(prose(rng, 30).upper().split())) for i in range(400)]
