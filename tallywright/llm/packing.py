@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import bisect
-import os
 import random
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,78 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.positions import with_positions
-from tallywright.llm.text import pieces, runs, text_bytes
+from tallywright.llm.text import runs
+from tallywright.llm.tokens import Memory, encode
 
-#: Distinct chunks whose ids a task remembers; past it, the memory starts anew.
-REMEMBERED = 400_000
 #: Bytes of text worked on at once: the more, the fewer chunks are new in each.
-RUN = 8 << 20
-
-
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
-
-
-def _chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places at which the tokenizer's own splitting surely begins a new piece: a single space
-    between two other characters, and before and after a single line feed. Anything that may be
-    white space of another kind is no such place, so longer chunks remain there."""
-    blank = (data == 0x20) | (data == 0x0A)
-    odd = (data < 0x20) & ~blank | (data >= 0x7F) & (data < 0x80)
-    lead = (data == 0xC2) | (data >= 0xE1) & (data <= 0xE3)
-    solid = ~blank & ~odd
-    before, after = np.zeros_like(solid), np.zeros_like(solid)
-    before[1:] = solid[:-1]
-    before[2:] &= ~lead[:-2]
-    before[3:] &= ~lead[:-3]
-    after[:-1] = solid[1:] & ~lead[1:]
-    lone = blank & before & after
-    edge = np.zeros(len(data) + 1, bool)
-    edge[:-1] = lone
-    edge[1:] |= lone & (data == 0x0A)
-    edge[at[:-1]] = True
-    # A space at either end of a text has no character on both sides within its own text.
-    inner = at[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    edge[inner - 1] &= np.isin(inner - 1, at)
-    return np.flatnonzero(edge[:-1])
-
-
-def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in a row and where each text's begin (one more at the end).
-
-    Only distinct chunks go through the tokenizer; their ids are put together by array operations.
-    """
-    tokenizer, memory = _tokenizer(path)
-    data, at = text_bytes(text)
-    starts = _chunk_starts(data, at)
-    if not len(starts):
-        return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    encoded = pieces(data, np.diff(np.append(starts, len(data))))
-    codes = encoded.indices.to_numpy(zero_copy_only=False)
-    distinct = encoded.dictionary.to_pylist()
-    if len(memory) > REMEMBERED:
-        memory.clear()
-    new = [c for c in distinct if c not in memory]
-    for begin in range(0, len(new), 50_000):
-        some = new[begin : begin + 50_000]
-        done = tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-        memory.update(zip(some, (tuple(e.ids) for e in done), strict=True))
-    ids = [memory[c] for c in distinct]
-    length = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for each in ids for i in each), np.uint32, int(length.sum()))
-    own = np.cumsum(length) - length
-    count = length[codes]
-    reached = np.cumsum(count)
-    places = np.arange(int(reached[-1])) + np.repeat(own[codes] - (reached - count), count)
-    before = np.append(0, reached)[np.searchsorted(starts, at)]
-    return flat[places], before
+RUN = 4 << 20
 
 
 def token_pieces(
@@ -97,8 +28,9 @@ def token_pieces(
     tokens, its end token counted, is cut from the back, so its first piece may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in runs(batches, size=RUN):
-            flat, at = encode(batch.column("text"), tokenizer)
+            flat, at = encode(batch.column("text"), tokenizer, memory)
             own, rows = batch.column("id").to_pylist(), []
             for number, doc in enumerate(own):
                 ids = np.append(flat[at[number] : at[number + 1]], np.uint32(end_id)).astype("<u4")
@@ -113,7 +45,6 @@ def token_pieces(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
-        _tokenizer(tokenizer)[1].clear()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +30,22 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system: a worker lives on for later tasks, and
+    what its allocators keep would add up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def runs(
     batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 16, size: int = RUN_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of about ``size`` bytes of text and at most ``most`` rows."""
+    """The rows of the batches in slices of about ``size`` bytes of text and at most ``most`` rows.
+
+    One longer text is a slice of its own. At the end of each batch the memory of its work goes back.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,6 +56,8 @@ def runs(
             end = min(max(end, begin + 1), begin + most, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+        del batch, at
+        give_back()
 
 
 @dataclass

@@ -11,10 +11,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tallywright.llm import jaccard, kneser_ney, link_trust, mixing, packing, perplexity, quality, scoring, secrets
+from tallywright.llm import jaccard, kneser_ney, link_trust, mixing, packing, perplexity, quality, scoring, secrets, tokens
 from tallywright.llm.components import connected, roots_of
 from tallywright.llm.multi_index import similar_vectors
 from tallywright.llm.sharding import shard_by_bytes
@@ -217,6 +218,36 @@ def test_packing(odd, odd_rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_reads_special_tokens_as_the_tokenizer_does(spark):
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}\n{end}", f"a{end}b", f"x  {end}  y", f"tail {end}", f"{end} head", f"l\n{end}\nm"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert want[0] == [31373, 220, 50256, 995, 2]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {
+        i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()
+    }
+
+
+def test_encoding_with_little_memory():
+    rng = random.Random(21)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "日", "\u00a0", "<|endoftext|>", "'s"]) for _ in range(50)) for _ in range(80)]
+    for plain in (False, True):
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = plain
+        for most in (0, 3, 10**6):
+            memory = tokens.Memory(most)
+            for begin in range(0, 80, 20):
+                flat, at = tokens.encode(pa.array(texts[begin : begin + 20]), path, memory, plain)
+                for n, t in enumerate(texts[begin : begin + 20]):
+                    ids = flat[at[n] : at[n + 1]]
+                    assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+                    assert tokens.decoder(path)(ids) == t.encode()
+                assert len(memory) <= most
+
+
 def test_packing_search():
     rng = random.Random(6)
     for counts in (
