@@ -11,6 +11,7 @@ from tallywright.llm.multi_index import similar_vectors
 from tallywright.llm.packing import pack
 from tallywright.llm import quality, secrets
 from tallywright.llm.perplexity import judge
+from tallywright.llm.resampling import resample
 from tallywright.llm.scoring import score_texts
 from tallywright.llm.sharding import shard_by_bytes
 
@@ -62,6 +63,10 @@ def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_perplexity": op2_perplexity,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_word_model": op10_word_model,
+    "op13_resampling": op13_resampling,
 }
 
 SQL: dict[str, str] = {}
