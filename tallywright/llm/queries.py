@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallywright.llm.alignment import align_tokenizers
 from tallywright.llm.jaccard import similar_sets
 from tallywright.llm.link_trust import judge_urls
 from tallywright.llm.mixing import mix_sources
@@ -63,6 +64,10 @@ def op10_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents")).documents
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_word_model": op10_word_model,
+    "op12_alignment": op12_alignment,
     "op13_resampling": op13_resampling,
 }
 
