@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.positions import with_positions
 from tallywright.llm.storage import stored, written
-from tallywright.llm.text import runs
+from tallywright.llm.text import runs, text_bytes
 from tallywright.llm.tokens import Memory, decoder, encode
 
 #: Strings that formats use to steer a model; fixed values.
@@ -281,7 +281,8 @@ def build_trees(
     rows = written(_prefixes(turns), "prefixes")
     later = rows.filter("place > 0")
     forks = later.groupBy("parent").agg(F.min("key").alias("lowest"), F.max("key").alias("highest"))
-    forks = forks.filter("lowest != highest").select(F.col("parent").alias("fork"))
+    # Stored, so that the join has a shuffle of its own, which Spark can split at a hot turn.
+    forks = written(forks.filter("lowest != highest").select(F.col("parent").alias("fork")), "forks")
     branched = later.join(forks, F.col("parent") == F.col("fork"), "left")
     marked = written(
         rows.filter("place = 0")
@@ -367,22 +368,28 @@ def digest(
             types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-        for batch in batches:
+        for batch in runs(batches, text="ids", most=2000):
             kind, done = batch.column("conv").type, []
-            columns = (batch.column(n).to_pylist() for n in ("cid", "conv", "ids", "loss_begin", "loss_end"))
-            for cid, conv, ids, begin, end in zip(*columns, strict=True):
+            raw, at = text_bytes(batch.column("ids"))
+            ids = raw.view("<u4").astype(np.int64)
+            spelled, reached = spell(ids), np.append(0, np.cumsum(spell.length[ids]))
+            at = at // 4
+            learnt_from, learnt_to = (batch.column(n).to_numpy() + at[:-1] for n in ("loss_begin", "loss_end"))
+            places = (reached[p].tolist() for p in (at[:-1], at[1:], learnt_from, learnt_to))
+            columns = (batch.column(n).to_pylist() for n in ("cid", "conv"))
+            for cid, conv, begin, end, first, last in zip(*columns, *places, strict=True):
                 if cid != current:
                     if facts:
                         done.append(facts)
                     current, facts = cid, [cid, conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.frombuffer(ids, "<u4").astype(np.int64)
-                turn = spell(ids).decode()
+                turn = spelled[begin:end].decode()
                 role, text = template.parsed(turn)
-                learnt = template.unescape(spell(ids[begin:end]).decode())
                 facts[2] += 1
                 facts[3].update(f"{role}\n{text}\n".encode())
-                facts[4] += len(learnt)
-                facts[5].update(learnt.encode())
+                if last > first:
+                    learnt = template.unescape(spelled[first:last].decode())
+                    facts[4] += len(learnt)
+                    facts[5].update(learnt.encode())
                 facts[6] += len(turn)
             if done:
                 yield rows(done)

@@ -20,9 +20,10 @@ RUN_BYTES = 4 << 20
 
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts in a row, and where each begins (one more at the end)."""
-    text = text.fill_null("")
-    wide = pa.types.is_large_string(text.type)
+    """The UTF-8 bytes of all texts (or binaries) in a row, and where each begins (one more at the end)."""
+    binary = pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type)
+    text = text.fill_null(b"" if binary else "")
+    wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
     at = np.frombuffer(text.buffers()[1], np.int64 if wide else np.int32)
     at = at[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = text.buffers()[2]
