@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright import schema
@@ -77,44 +77,42 @@ def payment_events(accepted: DataFrame) -> DataFrame:
     )
 
 
+ORDERS = ("order_created", "subscription_created")
+
+
+def known_events(events: DataFrame) -> DataFrame:
+    """Account events of the kinds that change a state, with the ``status`` they lead to; ids as
+    text, ``subscription_id`` null where there is no such column."""
+    if "subscription_id" not in events.columns:
+        events = events.withColumn("subscription_id", F.lit(None).cast("string"))
+    status = F.lit(None).cast("string")
+    for event, value in schema.STATUS.items():
+        status = F.when(F.col("event") == event, value).otherwise(status)
+    return events.where(F.col("event").isin(*schema.STATUS)).select(
+        "user_id", "ts", F.col("event_id").cast("string").alias("event_id"), "event",
+        status.alias("status"), "plan", "subscription_id",
+    )
+
+
 def subscription_state(events: DataFrame) -> DataFrame:
     """Fold account events ``(user_id, ts, event_id, event, plan)`` into one state per user.
 
     The status is that of the last event, the plan that of the last order, and a user with a
     verified payment is subscribed from then on; a column ``subscription_id`` is optional, its last
     value holds. Ids are text: of equal times the longer id, then the higher one is later, so
-    numbers keep their order. A bound on ``row_number()`` first cuts a user's events to the last of
-    each kind, in the map tasks too, so a very active user arrives as a few rows.
+    numbers keep their order. It is one aggregation, partial in the map tasks, so a very active user
+    arrives as a row per task; a stream takes it too, since a maximum does not depend on the order
+    in which events arrive or on their being repeated.
     """
-    if "subscription_id" not in events.columns:
-        events = events.withColumn("subscription_id", F.lit(None).cast("string"))
-    status = F.lit(None).cast("string")
-    for event, value in schema.STATUS.items():
-        status = F.when(F.col("event") == event, value).otherwise(status)
-    ordered = F.col("event").isin("order_created", "subscription_created")
+    known = known_events(events)
+    ordered = F.col("event").isin(*ORDERS)
     given = F.col("subscription_id").isNotNull()
-    kind = (
-        F.when(ordered, 0).when(F.col("event") == "payment_verified", 1).otherwise(2) * 2
-        + given.cast("int")
-    )
-    known = events.where(F.col("event").isin(*schema.STATUS)).select(
-        "user_id", "ts", F.col("event_id").cast("string").alias("event_id"), "event", "plan",
-        "subscription_id", kind.alias("_kind"),
-    )
-    latest = Window.partitionBy("user_id", "_kind").orderBy(
-        F.desc("ts"), F.desc(F.length("event_id")), F.desc("event_id")
-    )
     order = F.struct("ts", F.length("event_id"), "event_id")
-    return (
-        known.withColumn("_place", F.row_number().over(latest))
-        .where(F.col("_place") <= 1)
-        .groupBy("user_id")
-        .agg(
-            F.max_by(status, order).alias("status"),
-            F.max_by(F.when(ordered, F.col("plan")), F.when(ordered, order)).alias("plan"),
-            F.bool_or(F.col("event") == "payment_verified").alias("is_subscribed"),
-            F.max_by("subscription_id", F.when(given, order)).alias("subscription_id"),
-        )
+    return known.groupBy("user_id").agg(
+        F.max_by("status", order).alias("status"),
+        F.max_by(F.when(ordered, F.col("plan")), F.when(ordered, order)).alias("plan"),
+        F.bool_or(F.col("event") == "payment_verified").alias("is_subscribed"),
+        F.max_by("subscription_id", F.when(given, order)).alias("subscription_id"),
     )
 
 

@@ -423,6 +423,7 @@ SQL["rejected_subscription_payments"] = f"""WITH {PAYMENTS}
 SELECT o_orderkey, o_orderstatus FROM signed WHERE signature <> subscription_signature"""
 SQL["subscription_state"] = f"""WITH {EVENTS}
 SELECT user_id, status, plan, is_subscribed FROM state"""
+SQL["subscription_stream"] = SQL["subscription_state"]
 SQL["subscription_status"] = f"""WITH {USERS}, {EVENTS} SELECT email,
     coalesce(users.is_subscribed, FALSE) OR coalesce(state.is_subscribed, FALSE) AS is_subscribed,
     coalesce(plan, subscription_plan) AS plan, status FROM users LEFT JOIN state ON id = user_id"""

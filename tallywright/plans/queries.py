@@ -11,9 +11,11 @@ from tallywright.functions.numbers import split_amounts, sum_parts, sum_total
 from tallywright.operators import (
     accounts, billing, coerce, mapping, marketing, prompts, sales, uploads,
 )
+from tallywright.operators.settle import shared_folder
 from tallywright.plans import reports
 from tallywright.sources import sample_accounts, sample_facts
 from tallywright.sources.sample_facts import table
+from tallywright.streaming import subscriptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +410,16 @@ def subscription_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.drop("subscription_id")
 
 
+@query
+def subscription_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after every change that the stream of events told."""
+    folder = shared_folder(spark, "subscription-stream")
+    changes = subscriptions.follow_subscriptions(sample_accounts.arriving_account_events(spark, sf_dir))
+    subscriptions.write_changes(changes, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    told = spark.read.schema(changes.schema).parquet(f"{folder}/changes")
+    return subscriptions.latest_states(told).drop("subscription_id")
+
+
 @query
 def subscription_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = sample_accounts.users(spark, sf_dir)

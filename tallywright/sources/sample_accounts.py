@@ -92,9 +92,20 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_account_events(table(spark, sf_dir, "events"))
+
+
+def arriving_account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the table's files."""
+    kinds = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 4)
+    return as_account_events(stream.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_account_events(events: DataFrame) -> DataFrame:
     """Signups order a plan, clicks start a subscription, purchases are verified payments."""
     number = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "user_id",
         "ts",
         "event_id",
