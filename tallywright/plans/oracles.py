@@ -269,6 +269,50 @@ UNION ALL SELECT tenant, 'marketing', part, position, text FROM ({SQL['mkt_repor
 
 # Coercion and mapping -----------------------------------------------------------------------
 
+_MISSING = ", ".join(map(_text, schema.NA_TOKENS))
+_WHOLE = r"[ \t\n\v\f\r]*[-+]?[0-9]+[ \t\n\v\f\r]*"
+_PLAIN = r"[ \t\n\v\f\r]*[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)[ \t\n\v\f\r]*"
+UPLOAD_COLUMNS = (
+    "id", "padded", "price", "mixed", "flag", "shipped", "impossible", "dirty", "nothing", "rarely", "huge",
+    "powers", "blend",
+)
+
+
+def _inferred(by: str, columns: tuple[str, ...]) -> str:
+    """Kinds of all cells as rows, then per column."""
+    cells = " UNION ALL ".join(
+        f"SELECT file, {n} AS position, {_text(c)} AS name,"
+        f" CASE WHEN {c} NOT IN ({_MISSING}) THEN {c} END AS cell FROM cells" for n, c in enumerate(columns)
+    )
+    keys = f"{by}, " if by else ""
+    return f"""WITH cells AS ({accounts.UPLOAD_SQL}), long AS ({cells}), known AS (
+    SELECT *, CASE WHEN regexp_full_match(cell, {_text(_WHOLE)}) AND TRY_CAST(trim(cell) AS BIGINT) IS NOT NULL
+            THEN 1 WHEN regexp_full_match(cell, {_text(NUMBER)}) AND isfinite(TRY_CAST(cell AS DOUBLE)) THEN 2
+            WHEN cell IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false') THEN 4
+            WHEN regexp_full_match(cell, {_text(ISO_DATE)}) AND TRY_CAST(cell AS TIMESTAMP) IS NOT NULL THEN 8
+            WHEN cell IS NOT NULL THEN 16 END AS kind,
+        CASE WHEN regexp_full_match(cell, {_text(_PLAIN)})
+            THEN length(ltrim(split_part(ltrim(trim(cell), '+-'), '.', 1), '0')) END AS whole,
+        CASE WHEN regexp_full_match(cell, {_text(_PLAIN)})
+            THEN length(split_part(trim(cell), '.', 2)) END AS places FROM long), folded AS (
+    SELECT {keys}position, name, CAST(coalesce(bit_or(kind), 0) AS INTEGER) AS kinds, count(*) AS n_rows,
+        count(*) - count(kind) AS n_missing, CAST(max(whole) AS INTEGER) AS whole_digits,
+        CAST(max(places) AS INTEGER) AS scale FROM known GROUP BY {keys}position, name)
+SELECT {keys}CAST(position AS INTEGER) AS position, name AS "column", CASE WHEN kinds = 1 THEN 'bigint' WHEN kinds IN (0, 2, 3)
+    THEN 'double' WHEN kinds = 4 THEN 'boolean' WHEN kinds = 8 THEN 'timestamp_ntz' ELSE 'string' END AS type,
+    kinds, n_rows, n_missing, whole_digits, scale FROM folded"""
+
+
+SQL["inferred_types"] = _inferred("", ("file", *UPLOAD_COLUMNS))
+SQL["inferred_types_by_file"] = _inferred("file", UPLOAD_COLUMNS)
+SQL["typed_upload"] = f"""WITH cells AS ({accounts.UPLOAD_SQL}) SELECT file, item, CAST(id AS BIGINT) AS id,
+    CAST(trim(padded) AS BIGINT) AS padded, CAST(price AS DOUBLE) AS price, CAST(mixed AS DOUBLE) AS mixed,
+    CAST(flag AS BOOLEAN) AS flag, CAST(shipped AS TIMESTAMP) AS shipped, impossible,
+    CASE WHEN dirty NOT IN ({_MISSING}) THEN dirty END AS dirty, CAST(NULL AS DOUBLE) AS nothing,
+    rarely, CAST(huge AS DOUBLE) AS huge, CAST(powers AS DOUBLE) AS powers, blend FROM cells"""
+SQL["spanning_upload"] = """SELECT conv_id, turn, CAST(length(said) AS BIGINT) AS chars, md5(said) AS digest
+FROM (SELECT conv_id, turn, role || ', "' || text || '"' || chr(10) AS said FROM conversations)"""
+
 SQL["coerce_numeric"] = f"""WITH c AS (
     SELECT (l_orderkey + l_linenumber) % 16 AS kind, {accounts.DIRTY_NUMBER} AS cell FROM lineitem
 ), v AS (SELECT kind, CASE WHEN regexp_full_match(cell, {_text(NUMBER)})

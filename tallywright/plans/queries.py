@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.numbers import split_amounts, sum_parts, sum_total
 from tallywright.operators import (
-    accounts, billing, coerce, mapping, marketing, prompts, sales, uploads,
+    accounts, billing, coerce, infer, mapping, marketing, prompts, sales, uploads,
 )
 from tallywright.operators.settle import shared_folder
 from tallywright.plans import reports
-from tallywright.sources import sample_accounts, sample_facts
+from tallywright.sources import files, sample_accounts, sample_facts
 from tallywright.sources.sample_facts import table
 from tallywright.streaming import subscriptions
 
@@ -179,6 +179,39 @@ def reports_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Coercion and mapping -----------------------------------------------------------------------
 
 
+@query
+def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer.infer_types(sample_accounts.upload_cells(spark, sf_dir))
+
+
+@query
+def inferred_types_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer.infer_types(sample_accounts.upload_cells(spark, sf_dir), ("file",))
+
+
+@query
+def typed_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer.with_types(sample_accounts.upload_cells(spark, sf_dir))
+
+
+@query
+def spanning_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations written as CSV, whose cells hold line feeds, quotes and commas, and read
+    back by byte ranges."""
+    folder = shared_folder(spark, "spanning-upload")
+    told = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat_ws(', "', "role", F.concat("text", F.lit('"\n'))).alias("said")
+    )
+    told.write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(folder)
+    read = files.read_upload(spark, folder, ())
+    return read.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+        F.length("said").cast("bigint").alias("chars"), F.md5("said").alias("digest"),
+    )
+
+
 @query
 def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr(sample_accounts.DIRTY_NUMBER)

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tallywright import schema
 from tallywright.operators.coerce import drop_na_tokens
+from tallywright.operators.infer import with_types
 from tallywright.operators.settle import settle
+from tallywright.sources.spanning import parsed, spanning_records
+
 
 def check_format(path: str) -> str:
     """``csv`` for a CSV file or a folder of them; other formats raise ``ValueError``."""
@@ -47,22 +50,18 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return about.join(headers, ["file", "number"], "left").select("file", "header", "open_quotes")
 
 
-def _read(spark: SparkSession, path: str, open_files: list[str], **options):
-    """Readers of the files whose cells end in their line, which are split between tasks, and of
-    the others, each read by one task: ``(reader, paths)``.
+def _split_paths(spark: SparkSession, path: str, open_files: list[str]) -> tuple[list[str], list[str]]:
+    """The files whose cells end in their line, and those whose cells may go on in the next one.
 
     Which way a file is read depends on its own content alone, not on its size or its neighbours.
     """
-    plain = {"header": True, "escape": '"', "pathGlobFilter": "*.csv", **options}
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    others = [
-        r.path for r in listed.select("path").collect() if unquote(r.path) not in set(open_files)
-    ]
-    found = []
-    for multiline, paths in ((False, [unquote(p) for p in others]), (True, open_files)):
-        if paths:
-            found.append((spark.read.options(multiLine=multiline, **plain), sorted(paths)))
-    return found
+    paths = sorted(unquote(r.path) for r in listed.select("path").collect())
+    return [p for p in paths if p not in set(open_files)], sorted(open_files)
+
+
+def _reader(spark: SparkSession, **options):
+    return spark.read.options(header=True, escape='"', pathGlobFilter="*.csv", **options)
 
 
 def _open_files(lines: DataFrame) -> list[str]:
@@ -74,29 +73,52 @@ def read_upload(
 ) -> DataFrame:
     """Read an uploaded CSV file, or a folder of files with the same header, all cells as text.
 
-    Cells may hold line breaks, and then a file cannot be split between tasks: the lines of every
-    file are searched for open quotes first. Files whose header differs from the first one's raise
-    an error.
+    Cells may hold line breaks. The lines of every file are searched for open quotes first; files
+    that have some are read by :mod:`spanning <tallywright.sources.spanning>`, and all files by byte
+    ranges. Files whose header differs from the first one's raise an error.
     """
     check_format(path)
-    parts = _read(spark, path, _open_files(scan_lines(spark, path)))
-    if not parts:
+    plain, spanning = _split_paths(spark, path, _open_files(scan_lines(spark, path)))
+    if not plain and not spanning:
         raise ValueError(f"no CSV file at {path}")
-    header = parts[0][0].csv(parts[0][1][0]).schema
-    rows = [
-        reader.options(enforceSchema=False).schema(header).csv(paths) for reader, paths in parts
-    ]
+    first = (plain or spanning)[0]
+    header = _reader(spark, multiLine=not plain).csv(first).schema
+    rows = []
+    if plain:
+        rows.append(_reader(spark, enforceSchema=False).schema(header).csv(plain))
+    if spanning:
+        records = spanning_records(spark, spanning)
+        wide = parsed(records, [*header.names, "_more"])
+        cells = F.array(*[F.lower(F.trim(F.coalesce(F.col(f"`{n}`"), F.lit("")))) for n in header.names])
+        want = F.array(*[F.lit(n.strip().lower()) for n in header.names])
+        other = (cells != want) | F.col("_more").isNotNull()
+        if not _generated(header.names) and (odd := wide.where("first").where(other).select("file").head(1)):
+            raise ValueError(f"the header of {odd[0].file} is not that of {first}")
+        ordered = wide.where("not first").orderBy("file", "start")  # as the lines of a file stand
+        rows.append(ordered.select(*[F.col(f"`{n}`") for n in header.names]))
     return drop_na_tokens(reduce(DataFrame.unionByName, rows), na_tokens)
 
 
+def read_typed(
+    spark: SparkSession, path: str, na_tokens: tuple[str, ...] = schema.NA_TOKENS
+) -> DataFrame:
+    """Read an upload as :func:`read_upload` does, each column with the type of all its cells."""
+    return with_types(read_upload(spark, path, na_tokens), None, na_tokens)
+
+
+def _generated(names: list[str]) -> bool:
+    """Whether the reader made up names, for empty or equal headers."""
+    return any(n.startswith("_c") and n[2:].isdigit() or n[-1:].isdigit() for n in names)
+
+
 def read_uploads(
     spark: SparkSession, path: str, na_tokens: tuple[str, ...] = schema.NA_TOKENS
 ) -> tuple[DataFrame, DataFrame]:
     """Read a folder of CSV files, each with a header of its own.
 
     Gives ``(file, col_pos, column)`` for the headers and ``(file, row, cells)`` for the rows, as
-    wide as the widest header; ``row`` rises within a file. One pass over the lines finds the headers and the files with cells that
-    span lines; the others are split between tasks whatever their size.
+    wide as the widest header; ``row`` rises within a file. One pass over the lines finds the headers
+    and the files with cells that span lines; all are split between tasks whatever their size.
     """
     check_format(path)
     found = settle(scan_lines(spark, path))
@@ -107,14 +129,19 @@ def read_uploads(
     headers = found.select("file", header.alias("h")).select(
         "file", F.posexplode(F.array(*[f"h.{n}" for n in names])).alias("col_pos", "column")
     )
-    rows = [
-        reader.schema(wide).csv(paths).select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_row"),
+    plain, spanning = _split_paths(spark, path, _open_files(found))
+    rows = []
+    if plain:
+        rows.append(
+            _reader(spark).schema(wide).csv(plain).select(
+                "*",
+                F.col("_metadata.file_path").alias("_file"),
+                F.monotonically_increasing_id().alias("_row"),
+            )
         )
-        for reader, paths in _read(spark, path, _open_files(found))
-    ]
+    if spanning:
+        cells = parsed(spanning_records(spark, spanning).where("not first"), names)
+        rows.append(cells.select(*names, F.col("file").alias("_file"), F.col("start.number").alias("_row")))
     nothing = spark.createDataFrame([], f"{wide}, _file STRING, _row BIGINT")
     cells = drop_na_tokens(reduce(DataFrame.unionByName, rows, nothing), na_tokens)
     return (

@@ -59,6 +59,26 @@ DIRTY_CAMPAIGNS_SQL = """SELECT CASE WHEN event_id % 13 > 0 THEN ts END AS date,
     CASE event_id % 3 WHEN 0 THEN '-3' WHEN 1 THEN 'none' ELSE '7.5' END AS revenue FROM events"""
 
 
+# Line items as an upload of text: columns that are of one kind, of several, and of none.
+UPLOAD_SQL = f"""SELECT l_returnflag AS file, l_orderkey AS item, CAST(l_orderkey AS STRING) AS id,
+    ' +' || {N} || ' ' AS padded, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS STRING) AS price,
+    CASE WHEN l_linenumber % 2 = 0 THEN {N} ELSE {N} || '.125' END AS mixed,
+    CASE l_orderkey % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'false' END AS flag,
+    CAST(CAST(l_shipdate AS DATE) AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN ' 10:20:30'
+        ELSE '' END AS shipped,
+    CASE WHEN l_orderkey % 7 = 0 THEN '2024-02-30' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING)
+        END AS impossible, {DIRTY_NUMBER} AS dirty,
+    CASE l_linenumber WHEN 1 THEN 'NA' WHEN 2 THEN 'null' WHEN 3 THEN '' END AS nothing,
+    CASE WHEN l_returnflag = 'N' AND l_orderkey % 1009 = 7 THEN 'unknown' ELSE {N} END AS rarely,
+    CASE WHEN l_orderkey % 5 = 0 THEN '9223372036854775808' ELSE {N} END AS huge,
+    CASE WHEN l_orderkey % 5 = 0 THEN {N} || 'e2' ELSE {N} END AS powers,
+    CASE WHEN l_orderkey % 2 = 0 THEN 'true' ELSE {N} END AS blend FROM lineitem"""
+
+
+def upload_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(UPLOAD_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
