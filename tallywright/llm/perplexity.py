@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +23,13 @@ SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _windows(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+#: Models that the keys have room for, two for each language.
+MODELS = 2 ** (64 - ORDER * BITS)
+
+
+def _windows(text: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each character and each text's end after the four characters before, in the group of
-    the text's language; and where each text's begin (one more at the end)."""
+    the text's model; and where each text's begin (one more at the end)."""
     values = text.fill_null("").to_pylist()
     codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, values), np.int64, len(values))
@@ -44,8 +46,7 @@ def _windows(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             places = first[:-1] + step
             earlier[places[places < first[1:]]] = START
         keys |= earlier << np.uint64(back * BITS)
-    group = [zlib.crc32((x or "").encode()) % 2 ** (64 - ORDER * BITS) for x in lang.to_pylist()]
-    keys |= np.repeat(np.array(group, np.uint64), size + 1) << np.uint64(ORDER * BITS)
+    keys |= np.repeat(model.astype(np.uint64), size + 1) << np.uint64(ORDER * BITS)
     return keys, first
 
 
@@ -113,12 +114,14 @@ def judge(
 
     An interpolated modified Kneser-Ney model of five characters per language is counted in Spark
     over the texts with an id in ``trusted`` (a column id), kept as sorted hash arrays, and scores
-    every whole text. A language without such a text (None: every language) is counted whole, as two
-    models of half the texts each; a text is scored by the model that has not seen it, or it would
-    be known by heart. With all its texts in one half it scores 0. A language's bands lie around the median of log10
-    perplexity per character over all its texts that pass the base rules, ``width`` median absolute
-    deviations to either side, at least ``least``; a short text's deviation is divided by
-    sqrt(1 + 400 / characters), as its mean varies more.
+    every whole text. A language has two models of its own, each of half the texts by their hash; a
+    text is scored by the model of the other half, so that none is known by heart. A language that
+    has no trusted texts in one of the halves (with None: every language) is counted whole; with all
+    its texts in one half it scores 0. Languages are numbered; more than the keys have room for
+    (256) raise ``ValueError``. A language's bands lie around the median of log10 perplexity per
+    character over all its texts that pass the base rules, ``width`` median absolute deviations to
+    either side, at least ``least``; a short text's deviation is divided by sqrt(1 + 400 /
+    characters), as its mean varies more.
 
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, log_perplexity, lower, upper. A null or empty text has no words and fails. Null languages
@@ -143,23 +146,28 @@ def judge(
 
     def languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.filter(pa.array(known(batch))).column("lang").unique()
-            yield pa.RecordBatch.from_arrays([found], ["lang"])
+            found = pa.Table.from_batches([batch.filter(pa.array(known(batch)))])
+            yield from found.group_by(["lang", "half"]).aggregate([]).to_batches()
 
+    # Rows per language go to the driver.
+    places = {r["lang"]: n for n, r in enumerate(slim.select("lang").distinct().sort("lang").collect())}
+    if 2 * len(places) > MODELS:
+        raise ValueError(f"{len(places)} languages; the models have room for {MODELS // 2}")
     learnt = set()
-    if chosen is not None:  # a row per language goes to the driver
-        trusting = training.filter("text != ''").select("lang", "key").mapInArrow(languages, "lang string")
-        learnt = {r["lang"] for r in trusting.distinct().collect()}
+    if chosen is not None:
+        trusting = training.filter("text != ''").select("lang", "half", "key")
+        halves = trusting.mapInArrow(languages, "lang string, half int").distinct().groupBy("lang").count()
+        learnt = {r["lang"] for r in halves.filter("count = 2").collect()}
 
-    def models(batch: pa.RecordBatch, other: int) -> pa.Array:
-        """The name of each text's model: its language, and where nothing is trusted a half."""
-        pairs = zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True)
-        return pa.array([x if x in learnt else f"{x or ''}\0{h ^ other}" for x, h in pairs], pa.string())
+    def models(batch: pa.RecordBatch, other: int) -> np.ndarray:
+        """The number of each text's model: its language and a half."""
+        own = np.fromiter((places[x] for x in batch.column("lang").to_pylist()), np.int64, batch.num_rows)
+        return 2 * own + (batch.column("half").to_numpy() ^ other)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in runs(batches, size=RUN):
             if chosen is not None:
-                missing = ~pc.is_in(batch.column("lang"), pa.array(list(learnt), pa.string())).to_numpy(zero_copy_only=False)
+                missing = ~np.fromiter((x in learnt for x in batch.column("lang").to_pylist()), bool, batch.num_rows)
                 batch = batch.filter(pa.array(known(batch) | missing))
             if batch.num_rows:
                 yield _windows(batch.column("text"), models(batch, 0))[0]

@@ -458,6 +458,26 @@ def test_languages_without_trusted_rows_have_bands(spark):
     assert {r.doc_id for r in got if r.kept} == set(range(180))
 
 
+@pytest.mark.parametrize("other", ["ro", "xx"])
+def test_each_language_has_models_of_its_own(spark, other):
+    """``en`` and ``ro`` have equal checksums in their low bits; neither may learn from the other."""
+    rng = random.Random(17)
+    foreign = tuple("zzyx wvut qqpo nmlk jihg fedc baaz yyxw".split())
+    rows = [(i, prose(rng, 150), "en") for i in range(100)]
+    rows += [(500 + i, prose(rng, 150, foreign), other) for i in range(100)]
+    rows += [(1000, prose(rng, 150, foreign), "en"), (1001, prose(rng, 150), other)]
+    for trusted in (None, spark.createDataFrame([(i,) for i in [*range(0, 100, 2), *range(500, 600, 3)]], "id BIGINT")):
+        got = perplexity.judge(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), trusted).collect()
+        kept = {r.doc_id for r in got if r.kept}
+        assert not kept & {1000, 1001} and len(kept) >= 196
+
+
+def test_more_languages_than_models(spark):
+    rows = [(i, "some words", f"l{i}") for i in range(257)]
+    with pytest.raises(ValueError, match="257 languages"):
+        perplexity.judge(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
+
+
 def test_quality(spark, odd, empty):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randrange(20, 90)) if i % 3 else "!! ".join(prose(rng, 30).upper().split())) for i in range(400)]
