@@ -250,12 +250,10 @@ def _inverted(slim: DataFrame, first_path: str, second_path: str) -> DataFrame:
             distinct = encoded.dictionary.to_pylist()
             known = [memory.get(c) for c in distinct]
             new = [n for n, k in enumerate(known) if k is None]
-            memory.room_for(len(new))
             found_new = _aligned([distinct[n] for n in new], first_path, second_path)
             for n, found in zip(new, found_new, strict=True):
                 known[n] = found
-                if len(memory) < memory.most:
-                    memory[distinct[n]] = found
+                memory.keep(distinct[n], found)
             first = np.searchsorted(starts, at)
             broken = np.array([k[3] is None for k in known])
             bad = np.add.reduceat(broken[codes].astype(np.int64), first[:-1]) > 0

@@ -11,8 +11,8 @@ import pyarrow as pa
 
 from tallywright.llm.text import pieces, text_bytes
 
-#: Distinct chunks whose ids a task remembers at most; past it, the memory starts anew.
-REMEMBERED = 150_000
+#: Distinct chunks whose ids a task remembers at most, the first that it meets.
+REMEMBERED = 250_000
 #: Chunks given to the tokenizer at once.
 AT_ONCE = 20_000
 
@@ -60,16 +60,15 @@ def _chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Memory(dict):
-    """What was worked out for chunks, ``most`` of them at most."""
+    """What was worked out for the first ``most`` chunks. Frequent ones are among them."""
 
     def __init__(self, most: int = REMEMBERED):
         super().__init__()
         self.most = most
 
-    def room_for(self, more: int) -> None:
-        """Start anew if so many more would be too many."""
-        if len(self) + more > self.most:
-            self.clear()
+    def keep(self, chunk: bytes, found: object) -> None:
+        if len(self) < self.most:
+            self[chunk] = found
 
 
 def encode(
@@ -89,8 +88,6 @@ def encode(
     distinct = encoded.dictionary.to_pylist()
     ids: list[bytes | None] = [memory.get(c) for c in distinct]
     new = [n for n, known in enumerate(ids) if known is None]
-    memory.room_for(len(new))
-    room = memory.most - len(memory)
     for begin in range(0, len(new), AT_ONCE):
         some = new[begin : begin + AT_ONCE]
         done = tokenizer(path, plain).encode_batch_fast(
@@ -98,9 +95,7 @@ def encode(
         )
         for n, e in zip(some, done, strict=True):
             ids[n] = np.array(e.ids, "<u4").tobytes()
-        for n in some[:room]:
-            memory[distinct[n]] = ids[n]
-        room -= min(room, len(some))
+            memory.keep(distinct[n], ids[n])
     length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat = np.frombuffer(b"".join(ids), "<u4")
     places, reached = gather(length, codes)

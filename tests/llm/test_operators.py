@@ -233,7 +233,7 @@ def test_packing_reads_special_tokens_as_the_tokenizer_does(spark):
 def test_encoding_with_little_memory():
     rng = random.Random(21)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "日", "\u00a0", "<|endoftext|>", "'s"]) for _ in range(50)) for _ in range(80)]
+    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "日", "\u00a0", "<|endoftext|>", "'s", "12", "!?", " word", "\x7f"]) for _ in range(50)) for _ in range(80)]
     for plain in (False, True):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = plain
