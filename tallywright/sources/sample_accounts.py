@@ -119,7 +119,8 @@ def arriving_account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream of the table's files."""
     kinds = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 4)
-    return as_account_events(stream.parquet(f"{sf_dir}/events.parquet"))
+    # A pattern may stand for a single file, which a plain path of a stream may not.
+    return as_account_events(stream.parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def as_account_events(events: DataFrame) -> DataFrame:
