@@ -114,29 +114,37 @@ def section_columns(keys: Sequence[str]) -> tuple[Column, Column, Column]:
     return section, key, keyed
 
 
+def sectioned(rows: DataFrame, by: Sequence[str], *sums: Column) -> DataFrame:
+    """``(by, section, key)`` and ``sums`` over the rows of each section's key, in one pass."""
+    keys = [k for k in SECTIONS if k in rows.columns and k not in by]
+    sets = [list(by)] + [[*by, k] for k in keys]
+    grouped = rows.groupingSets(sets, *by, *keys).agg(F.grouping_id().alias("_set"), *sums)
+    section, key, keyed = section_columns(keys)
+    return grouped.where(keyed).select(
+        *by, section.alias("section"), key.alias("key"), *grouped.columns[len(by) + len(keys) + 1 :]
+    )
+
+
+def cut_amounts(facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The tenant, the keys of the sections and the revenue, split for exact sums."""
+    numbered = facts.withColumn("month", month_number(F.col("date")))
+    keys = [k for k in SECTIONS if k in numbered.columns and k not in by]
+    return split_amounts(numbered.select(*by, *keys, "revenue"), ["revenue"])
+
+
 def breakdown(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Totals and every revenue breakdown the facts allow, from one scan of them.
 
     Rows are ``(by, section, key, revenue, orders)``; the section ``total`` has no key. Rows
     without a key are left out of that section only.
     """
-    numbered = facts.withColumn("month", month_number(F.col("date")))
-    keys = [k for k in SECTIONS if k in numbered.columns and k not in by]
-    numbered = split_amounts(numbered.select(*by, *keys, "revenue"), ["revenue"])
-    sets = [list(by)] + [[*by, k] for k in keys]
-    grouped = numbered.groupingSets(sets, *by, *keys).agg(
-        F.grouping_id().alias("_set"),
-        *sum_parts("revenue"),
-        F.count(F.lit(1)).alias("orders"),
-    )
-    section, key, keyed = section_columns(keys)
-    return grouped.where(keyed).select(
-        *by, section.alias("section"), key.alias("key"), sum_total("revenue"), "orders"
-    )
+    orders = F.count(F.lit(1)).alias("orders")
+    summed = sectioned(cut_amounts(facts, by), by, *sum_parts("revenue"), orders)
+    return summed.select(*by, "section", "key", sum_total("revenue"), "orders")
 
 
-def entries(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The breakdown with products and customers cut to the top five of each tenant.
+def leading(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A breakdown with products and customers cut to the top five of each tenant.
 
     One ``row_number`` bound serves all sections: outside the ranked ones a row is the only one of
     its window partition. So the cut runs before the shuffle as well, and the many customer totals
@@ -145,9 +153,12 @@ def entries(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     slot = F.when(F.col("section").isin(*RANKED), F.lit(None)).otherwise(F.col("key"))
     order = Window.partitionBy(*by, "section", "_slot").orderBy(F.desc("revenue"), "key")
     return (
-        breakdown(facts, by)
-        .withColumn("_slot", slot)
+        rows.withColumn("_slot", slot)
         .withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= TOP)
         .drop("_slot", "_place")
     )
+
+
+def entries(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return leading(breakdown(facts, by), by)

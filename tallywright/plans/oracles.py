@@ -125,6 +125,17 @@ UNION ALL SELECT 'month', strftime(date, '%Y-%m'), {_sum('revenue')}, count(*) F
     for k in ("product", "region", "customer")
 )
 
+SQL["replaced_uploads"] = f"""WITH {SALES}, newest AS (
+    SELECT * FROM sales QUALIFY date = max(date) OVER (PARTITION BY customer))
+SELECT customer AS tenant, 'total' AS section, CAST(NULL AS VARCHAR) AS key,
+    {_sum('revenue')} AS revenue, count(*) AS orders FROM newest GROUP BY customer
+UNION ALL SELECT customer, 'month', strftime(date, '%Y-%m'), {_sum('revenue')}, count(*)
+    FROM newest GROUP BY 1, 3
+""" + "\n".join(
+    f"UNION ALL SELECT customer, '{k}', {k}, {_sum('revenue')}, count(*) FROM newest GROUP BY 1, 3"
+    for k in ("product", "region")
+)
+
 
 def _sales_json(with_by: bool, sections: list[str]) -> str:
     """Reports over a table ``sales`` with a column ``tenant``, as rows of text."""

@@ -12,7 +12,7 @@ from tallywright.operators import (
     accounts, billing, coerce, infer, mapping, marketing, prompts, sales, uploads,
 )
 from tallywright.operators.settle import shared_folder
-from tallywright.plans import reports
+from tallywright.plans import incremental, reports
 from tallywright.sources import files, sample_accounts, sample_facts
 from tallywright.sources.sample_facts import table
 from tallywright.streaming import subscriptions
@@ -120,6 +120,28 @@ def confirmed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_json(report)
 
 
+@query
+def replaced_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakdowns of each customer's newest order day, kept up to date over three changes.
+
+    A customer is a tenant and an order day an upload. The days of the second halves of all years
+    come first, then those of the first halves, of which many are older than what is there; then
+    the first change is sent again.
+    """
+    facts = sample_facts.sales(spark, sf_dir, ("customer", "date", "revenue", "product", "region"))
+    rows = facts.withColumnRenamed("customer", "tenant").withColumn("upload_id", F.col("date"))
+    store = incremental.Store(
+        shared_folder(spark, "replaced-uploads"), fields=("date", "revenue", "product", "region"),
+        slots=8,
+    )
+    incremental.create(spark, store)
+    for number, half in ((1, "month(date) > 6"), (2, "month(date) <= 6"), (1, "month(date) > 6")):
+        sent = rows.where(half)
+        uploads = sent.select("tenant", "upload_id", F.col("date").alias("uploaded_at"))
+        incremental.apply_change(spark, store, number, sent, uploads)
+    return incremental.breakdown(spark, store)
+
+
 # Marketing ----------------------------------------------------------------------------------
 
 

@@ -99,7 +99,14 @@ def sales_report(
     Sections whose column the table lacks are left out. The regions are the listing.
     """
     facts = coerce.sales_facts(df, by, formats)
-    entries = settle(sales.entries(facts, by))
+    return sales_report_of(sales.entries(facts, by), by, facts.columns, stamp=stamp)
+
+
+def sales_report_of(
+    entries: DataFrame, by: Sequence[str], fields: Sequence[str], *, stamp: bool = True
+) -> Report:
+    """The sales report of what ``sales.leading`` gives, for a table that has ``fields``."""
+    entries = settle(entries)
     revenue, key = F.col("revenue"), F.col("key")
     falling = [F.desc("revenue"), key]
     ranked = [-revenue, key]
@@ -133,7 +140,7 @@ def sales_report(
     for section, column in (
         ("top_products", "product"), ("region_wise_sales", "region"), ("top_customers", "customer"),
     ):
-        if column in facts.columns and column not in by:
+        if column in fields and column not in by:
             sections[section] = F.col(section) if section in lists else None
     large = {
         "total_revenue": revenue,
