@@ -266,10 +266,13 @@ def apply_mix(
     )
     columns = ["__id", "__source", "__key", "__copies"]
     copies = shares.filter("__rest = 0").select(*columns).union(settled.select(*columns)).filter("__copies > 0")
+    # Under numbers, no column of the table can be called like one of those above.
+    number = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     same = (
-        F.col(id_col).eqNullSafe(F.col("__id"))
-        & F.col(source_col).eqNullSafe(F.col("__source"))
-        & (F.xxhash64(F.col(text_col)) == F.col("__key"))
+        F.col(number[id_col]).eqNullSafe(F.col("__id"))
+        & F.col(number[source_col]).eqNullSafe(F.col("__source"))
+        & (F.xxhash64(F.col(number[text_col])) == F.col("__key"))
     )
-    rows = docs.join(copies, same)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    rows = docs.toDF(*number.values()).join(copies, same)
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
+    return rows.select(*[F.col(n).alias(c) for c, n in number.items()])

@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.text import free_name
+
 # Kinds in the order of the result, pattern, group whose length counts, least length.
 BASE = (
     (
@@ -22,7 +24,9 @@ BASE = (
 # End of the fixed values.
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 12  # characters of a candidate
+DIFFERENT = 6  # different characters of a candidate: runs of few characters are no keys
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -91,8 +95,9 @@ def labelled_samples(
     spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, documents: int, strings: int, seed: int
 ) -> DataFrame:
     """Labelled strings (value, is_random): ``strings`` digests of numbers in hexadecimal and in
-    base 64 as random ones, and the words of eight letters or more, single and joined in pairs, of
-    ``documents`` documents drawn by the seed as ordinary identifiers."""
+    base 64 as random ones, and as ordinary identifiers the words of four letters or more of
+    ``documents`` documents drawn by the seed and of the names of SQL functions: alone, in capitals, in pairs as names are written in
+    programs, paths and addresses, and with years, versions, dates and numbers."""
     numbers = spark.range(strings).select(F.sha2(F.concat_ws(":", F.lit(seed), "id"), 256).alias("h"))
     random_ = numbers.select(
         F.explode(
@@ -111,31 +116,50 @@ def labelled_samples(
         .orderBy(F.xxhash64(F.lit(seed), "id"), "id")
         .limit(documents)
     )
-    found = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{8,}"), F.lit(0))
+    found = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{4,}"), F.lit(0))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def ordinary_forms(words: Column) -> Column:
+        def forms(w: Column, i: Column) -> Column:
+            after = F.get(words, i + 1)
+            digits = F.conv(F.substring(F.sha2(F.concat_ws(":", w, i), 256), 1, 12), 16, 10)
+            year = F.concat(F.lit("20"), F.substring(digits, -2, 2))
+            return F.array(
+                w, F.upper(w), F.concat_ws("_", w, after), F.concat_ws("-", w, after),
+                F.concat_ws("/", w, after), F.concat(w, F.initcap(after)),
+                F.concat_ws("_", F.upper(w), F.upper(after)),
+                F.concat_ws("_", w, year, after, F.concat(F.lit("v"), F.substring(digits, -1, 1))),
+                F.concat_ws("-", w, F.substring(digits, -3, 2), after, year),
+                F.concat(w, F.substring(digits, -4, 3)),
+                F.concat_ws("-", year, F.substring(digits, -5, 2), F.substring(digits, -6, 2)),
+                F.concat_ws(
+                    "-", F.substring(digits, -3, 3), F.substring(digits, -4, 1),
+                    F.substring(digits, -6, 2), F.substring(digits, 1, 6), F.substring(digits, 7, 1),
+                ),
+                digits, F.concat(F.lit("+"), digits),
+            )
+
+        return F.flatten(F.transform(words, forms))
+
+    drawn = texts.join(F.broadcast(chosen), "id", "left_semi")  # a row per drawn document: bounded
+    named = spark.sql("SHOW FUNCTIONS").select(F.col("function").alias("text"))
     ordinary = (
-        texts.join(F.broadcast(chosen), "id", "left_semi")  # a row per drawn document: bounded
+        drawn.select("text")
+        .union(named)
         .select(found.alias("words"))
-        .select(
-            F.explode(
-                F.concat(
-                    "words",
-                    F.transform("words", lambda w, i: F.concat_ws("_", w, F.get("words", i + 1))),
-                    F.transform("words", lambda w, i: F.concat(w, F.initcap(F.get("words", i + 1)))),
-                )
-            ).alias("value"),
-            F.lit(False).alias("is_random"),
-        )
+        .select(F.explode(ordinary_forms(F.col("words"))).alias("value"), F.lit(False).alias("is_random"))
         .filter("value is not null")
     )
     return random_.unionByName(ordinary)
 
 
-def fit(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
+def fit(samples: DataFrame, smoothing: float = 1.0, weight: float = 20.0) -> list[float]:
     """Log-likelihood ratios of each character after each, random over ordinary.
 
-    First-order Markov models with additive smoothing, counted by Spark. The result has one value
-    per pair of characters of ``ALPHABET`` (and the start), so its size is fixed.
+    First-order Markov models counted by Spark; each row of pairs is smoothed by ``weight``
+    occurrences shared out as the model's single characters are, those by ``smoothing`` each. So a
+    pair that neither has seen is judged by its second character. The result has one value per pair
+    of characters of ``ALPHABET`` (and the start), so its size is fixed.
     """
     n = len(ALPHABET)
     code = lambda c: F.instr(F.lit(ALPHABET), c)
@@ -153,18 +177,18 @@ def fit(samples: DataFrame, smoothing: float = 1.0) -> list[float]:
         .count()
         .collect()
     )
-    table = {True: [smoothing] * (n + 1) ** 2, False: [smoothing] * (n + 1) ** 2}
+    pairs_of = {True: [0] * (n + 1) ** 2, False: [0] * (n + 1) ** 2}
     for row in counted:
-        table[row["is_random"]][row["pair"]] += row["count"]
-    ratios = []
-    for before in range(n + 1):
-        line = slice(before * (n + 1), (before + 1) * (n + 1))
-        sums = {k: sum(v[line]) for k, v in table.items()}
-        ratios += [
-            math.log(a / sums[True]) - math.log(b / sums[False])
-            for a, b in zip(table[True][line], table[False][line], strict=True)
+        pairs_of[row["is_random"]][row["pair"]] += row["count"]
+    logs = {}
+    for kind, seen in pairs_of.items():
+        single = [sum(seen[c :: n + 1]) + smoothing for c in range(n + 1)]
+        share = [x / sum(single) for x in single]
+        logs[kind] = [
+            math.log((seen[i] + weight * share[i % (n + 1)]) / (sum(seen[i - i % (n + 1) :][: n + 1]) + weight))
+            for i in range((n + 1) ** 2)
         ]
-    return ratios
+    return [a - b for a, b in zip(logs[True], logs[False], strict=True)]
 
 
 def log_likelihood_ratio(value: Column, ratios: Sequence[float]) -> Column:
@@ -188,6 +212,7 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = 12.0,
+    per_character: float = 0.75,
     sample_documents: int = 2000,
     sample_strings: int = 1000,
     seed: int = 42,
@@ -196,12 +221,13 @@ def scan(
     """All columns of ``docs`` and secret_base, secret_spans: arrays of (start, rank, end, kind,
     value), places in code points, end exclusive, by start and then kind.
 
-    To the spans of the fixed patterns come strings of 20 or more characters of ``ALPHABET`` with a
-    letter and a digit that touch no such span and whose log-likelihood ratio reaches
-    ``threshold``; their kind is ``random``. ``ratios`` may hold models fitted before (``fit``);
-    else they are fitted on a bounded labelled sample. Null and empty texts have no spans. Each
-    row is judged alone, so repeated rows get equal results. Input columns of those two names are
-    replaced.
+    To the spans of the fixed patterns come strings of 12 or more characters of ``ALPHABET``, at
+    least six of them different, whose log-likelihood ratio reaches ``threshold`` and
+    ``per_character`` times their length; their kind is ``random``. Of a string that touches spans
+    of the fixed patterns, each part between them is judged so by itself. ``ratios`` may hold models
+    fitted before (``fit``); else they are fitted on a bounded labelled sample. Null and empty texts
+    have no spans. Each row is judged alone, so repeated rows get equal results. Input columns of
+    the two names are replaced; all others are kept.
     """
     if ratios is None:
         ratios = fit(
@@ -210,15 +236,50 @@ def scan(
             )
         )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    more = _spans(text, "random", len(BASE), CANDIDATE, 0, 20)
+    more = _spans(text, "random", len(BASE), CANDIDATE, 0, LEAST)
+
+    def part(whole: Column, start: Column, end: Column) -> Column:
+        value = F.substring(whole["value"], start - whole["start"] + 1, end - start)
+        return F.struct(
+            start.alias("start"), whole["rank"].alias("rank"), end.alias("end"),
+            whole["kind"].alias("kind"), value.alias("value"),
+        )
+
+    def uncovered(whole: Column, base: Column) -> Column:
+        """The parts of a candidate between the spans that it touches."""
+        touched = F.filter(base, lambda b: (whole["start"] < b["end"]) & (b["start"] < whole["end"]))
+        first = F.struct(whole["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+
+        def step(done: Column, b: Column) -> Column:
+            before = F.when(
+                b["start"] > done["at"], F.array(part(whole, done["at"], b["start"]))
+            ).otherwise(F.array().cast(SPAN))
+            return F.struct(
+                F.greatest(done["at"], b["end"]).alias("at"),
+                F.concat(done["out"], before).alias("out"),
+            )
+
+        def last(done: Column) -> Column:
+            after = F.when(
+                done["at"] < whole["end"], F.array(part(whole, done["at"], whole["end"]))
+            ).otherwise(F.array().cast(SPAN))
+            return F.concat(done["out"], after)
+
+        return let(
+            touched,
+            lambda t: F.when(F.size(t) == 0, F.array(whole)).otherwise(F.aggregate(t, first, step, last)),
+        )
 
     def random_ones(base: Column) -> Column:
+        length = lambda c: F.length(c["value"])
         return F.filter(
-            more,
-            lambda c: c["value"].rlike("[0-9]")
-            & c["value"].rlike("[A-Za-z]")
-            & ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-            & (log_likelihood_ratio(c["value"], ratios) >= threshold),
+            F.flatten(F.transform(more, lambda c: uncovered(c, base))),
+            lambda c: (length(c) >= LEAST)
+            & (F.size(F.array_distinct(F.split(c["value"], ""))) >= DIFFERENT)
+            & (
+                log_likelihood_ratio(c["value"], ratios)
+                >= F.greatest(F.lit(threshold), length(c) * per_character)
+            ),
         )
 
     both = let(
@@ -229,11 +290,12 @@ def scan(
     )
     # The generator keeps the optimizer from writing the whole expression twice.
     kept = [c for c in docs.columns if c not in ("secret_base", "secret_spans")]
-    found = docs.select(*kept, F.explode(F.array(both)).alias("__found"))
+    own = free_name("found", docs.columns)
+    found = docs.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(both)).alias(own))
     return found.select(
-        *kept,
-        F.col("__found.base").alias("secret_base"),
-        F.col("__found.all").alias("secret_spans"),
+        *[F.col(f"`{c}`") for c in kept],
+        F.col(own)["base"].alias("secret_base"),
+        F.col(own)["all"].alias("secret_spans"),
     )
 
 

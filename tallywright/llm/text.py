@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,3 +142,11 @@ def shingles(words_: Words, size: int, short: bool) -> tuple[np.ndarray, np.ndar
         combined = np.concatenate([combined, extra])
         document = np.concatenate([document, few])
     return combined, document
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores before it as long as a column is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name

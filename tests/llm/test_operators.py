@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallywright.llm import jaccard, kneser_ney, link_trust, mixing, packing, perplexity, quality, scoring, secrets, tokens
@@ -137,6 +138,50 @@ def test_secrets(spark, odd, empty):
     assert secrets.digest(secrets.scan(empty)).count() == 0
 
 
+def test_ratios_equal_a_count_by_hand(spark):
+    samples = [("aXb1", True), ("Xb1a", True), ("abab", False), ("ab_b", False)]
+    ratios = secrets.fit(spark.createDataFrame(samples, "value STRING, is_random BOOLEAN"), 1.0, 20.0)
+    codes = {c: i for i, c in enumerate(secrets.ALPHABET, 1)}
+    n = len(codes) + 1
+
+    def log(kind, before, after):
+        pairs = [
+            (0 if i == 0 else codes[v[i - 1]], codes[c]) for v, k in samples if k == kind for i, c in enumerate(v)
+        ]
+        single = (sum(b == after for _, b in pairs) + 1) / (len(pairs) + n)
+        return np.log((pairs.count((before, after)) + 20 * single) / (sum(a == before for a, _ in pairs) + 20))
+
+    for before, after in [(0, "a"), ("a", "X"), ("a", "b"), ("_", "b"), ("z", "z"), ("X", "b"), (0, "q")]:
+        a, b = codes.get(before, 0), codes[after]
+        assert ratios[a * n + b] == pytest.approx(log(True, a, b) - log(False, a, b), abs=1e-9)
+    value = "abX1_zz"
+    want = sum(ratios[(codes[value[i - 1]] if i else 0) * n + codes[c]] for i, c in enumerate(value))
+    got = spark.range(1).select(secrets.log_likelihood_ratio(F.lit(value), ratios)).first()[0]
+    assert got == pytest.approx(want)
+
+
+def test_identifiers_stay_and_keys_go(spark, sf_dir):
+    ordinary = [
+        "covid-19-vaccination-campaign-2021", "user_account_2023_backup_v2", "ISBN_978-3-16-148410-0_paperback",
+        "CONTRIBUTORS_AND_MAINTAINERS", "getElementsByClassName", "articles/2021/05/17/local-news-update",
+        "------------------------", "zzzzzzzzzzzzzzzz", "00000000000000", "+491701234567", "internationalization",
+    ]
+    keys = ["q7Rk2ZpX9vLm4TnB", "xKqZvWjRbTgYpLmNcHdF", "Zk8vQ2xW9pLr7Yt", "hT5kQ9zXw2Vb7RjL0pMfS4uG"]
+    rows = [(i, f"see {v} here", "x") for i, v in enumerate(ordinary + keys, 10_000_000)]
+    # A key around a fixed pattern, and a column called like one of the operator's own.
+    rows.append((1, "k8ZqXv4WjRb2TgYp" + "0123456789abcdef" + "ZkQx7WpLr3YtVbN", "x"))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, found STRING")
+    samples = secrets.labelled_samples(
+        spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 2000, 1000, 42
+    )
+    scanned = secrets.scan(docs, ratios=secrets.fit(samples))
+    found = {r.doc_id: r.spans for r in secrets.digest(scanned).collect()}
+    assert scanned.filter("found = 'x'").count() == len(rows)
+    missed = [v for i, v in enumerate(ordinary + keys, 10_000_000) if bool(found[i]) != (v in keys)]
+    assert missed == []
+    assert found[1] == "random:0:16,hex:16:32,random:32:47"
+
+
 def sets_of(rows, size):
     out = []
     for i, t, *_ in rows:
