@@ -596,3 +596,12 @@ def test_trust_and_distrust_follow_links(spark):
         assert r.trust == pytest.approx(trust[r.host], abs=0.01)
         assert r.distrust == pytest.approx(distrust[r.host], abs=0.01)
     assert [got[i].verdict for i in range(1, 7)] == ["allow", "block" if distrust["farm.com"] >= 0.4 else "allow", "block", "allow", "allow", "allow"]
+
+
+def test_a_mix_keeps_columns_called_like_its_own(spark):
+    rows = [(i, "some words of a text", "a" if i % 3 else None, i, "k") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id INT, text STRING, source STRING, __id INT, __key STRING")
+    mixed = mixing.apply_mix(docs, mixing.mix_sources(docs))
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert got and all(r["__id"] == r.doc_id and r["__key"] == "k" for r in got)
