@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.text import runs, text_bytes, words
+from tallywright.llm.text import LOWER, runs, text_bytes, words
 
 SCORE = "quality_score"
 
@@ -25,7 +25,17 @@ KIND[[ord(c) for c in ".,!?|"]] = range(5, 10)
 KIND[[ord(c) for c in "#*$%&<>"]] = 10
 KIND[0x80:] = 12
 LENGTHS = 12
-TERMS = CLASSES**3 + 5 + LENGTHS
+LAYOUT = CLASSES**3 + 5 + LENGTHS
+WORDS = 4096
+GRAMS = 2048
+TERMS = LAYOUT + WORDS + GRAMS
+
+#: Terms of layout, words and letters: where they begin and end, and how much each kind counts.
+PARTS = (
+    (0, LAYOUT, 1.0),
+    (LAYOUT, LAYOUT + WORDS, 0.7),
+    (LAYOUT + WORDS, TERMS, 0.5),
+)
 
 #: Documents whose terms are held, and compared with the labelled rows, at once.
 BLOCK = 512
@@ -34,23 +44,29 @@ BLOCK = 512
 def term_weights(text: pa.Array) -> np.ndarray:
     """Square roots of term shares, a row per text.
 
-    Terms are triples of byte classes, so letters differ in case only, words that repeat the first,
-    second or third word before them, words seen before in the text, lines seen before, and the
-    order of magnitude of the number of words.
+    Terms are of three kinds. Of layout: triples of byte classes, words that repeat the first, second
+    or third word before them, words seen before in the text, lines seen before, and the order of
+    magnitude of the number of words. Words, and runs of four bytes (so scripts without blanks have
+    terms too), each hashed to a fixed number of buckets; A-Z count as small letters.
     """
     data, at = text_bytes(text)
     rows = len(text)
-    kind = KIND[data].astype(np.int64)
-    size = np.maximum(np.diff(at), 1)
+    out = np.zeros((rows, TERMS), np.float32)
+    size = np.maximum(np.diff(at), 1).astype(np.float32)[:, None]
     document = np.repeat(np.arange(rows), np.diff(at))
+    kind = KIND[data].astype(np.int64)
     triple = (kind[:-2] * CLASSES + kind[1:-1]) * CLASSES + kind[2:]
-    inside = document[:-2] == document[2:]
-    place = (document[:-2] * TERMS + triple)[inside]
-    out = np.bincount(place, minlength=rows * TERMS).reshape(rows, TERMS) / size[:, None]
-    found = words(text)
+    out[:, : CLASSES**3] = _counts(document, triple, rows, CLASSES**3) / size
+    letter = LOWER[data].astype(np.uint32)
+    gram = letter[:-3] << 24 | letter[1:-2] << 16 | letter[2:-1] << 8 | letter[3:]
+    gram = (gram * np.uint32(2654435761) >> np.uint32(16)) % GRAMS
+    out[:, LAYOUT + WORDS :] = _counts(document, gram.astype(np.int64), rows, GRAMS) / size
+    found = words(text, lower=True)
     code, owner = found.codes.astype(np.int64), found.document()
     number = np.diff(found.first)
     some = np.maximum(number, 1)
+    bucket = (found.hashes() % np.uint64(WORDS)).astype(np.int64)
+    out[:, LAYOUT : LAYOUT + WORDS] = _counts(owner, bucket[code], rows, WORDS) / some[:, None]
     extra = CLASSES**3
     for gap in (1, 2, 3):
         same = owner[gap:][(code[gap:] == code[:-gap]) & (owner[gap:] == owner[:-gap])]
@@ -61,7 +77,18 @@ def term_weights(text: pa.Array) -> np.ndarray:
     out[:, extra + 4] = _repeated_lines(data, at)
     magnitude = np.minimum(np.log2(some).astype(int), LENGTHS - 1)
     out[np.arange(rows), extra + 5 + magnitude] = 0.1
-    return np.sqrt(out).astype(np.float32)
+    return np.sqrt(out, out=out)
+
+
+def _counts(document: np.ndarray, term: np.ndarray, rows: int, terms: int) -> np.ndarray:
+    """How often each text has each term. A term that begins so late in its text that it ends in the
+    next one does not count: ``term`` is shorter than ``document`` by what a term needs after it."""
+    after = len(document) - len(term)
+    if len(term) == 0:
+        return np.zeros((rows, terms), np.int64)
+    inside = document[: len(term)] == document[after:]
+    place = (document[: len(term)] * terms + term)[inside]
+    return np.bincount(place, minlength=rows * terms).reshape(rows, terms)
 
 
 def _repeated_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -80,6 +107,18 @@ def _repeated_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return shares
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
+def weigh(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Unit vectors of the weighted terms, in which each kind of term has its fixed share."""
+    out = terms * weights
+    for begin, end, share in PARTS:
+        out[:, begin:end] = unit(out[:, begin:end]) * np.float32(share)
+    return unit(out)
+
+
 @dataclass
 class Model:
     """Weights of the terms, axes of the latent space, unit vectors and labels of the sample."""
@@ -90,8 +129,7 @@ class Model:
     labels: np.ndarray
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        latent = (terms * self.weights) @ self.axes
-        return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        return unit(weigh(terms, self.weights) @ self.axes)
 
     def vote(self, terms: np.ndarray, neighbours: int, power: float) -> np.ndarray:
         """Share of label 1 among the nearest labelled rows, each weighted by its cosine."""
@@ -133,7 +171,7 @@ def fit(
     drawn = [clean.filter(F.col("label") == y).orderBy(*order).limit(per_label) for y in (0, 1)]
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most twice per_label rows
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, most=BLOCK):
             rows = [(np.flatnonzero(row), row) for row in term_weights(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
@@ -147,27 +185,29 @@ def fit(
             )
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    texts = texts.dropDuplicates(["id"])
+    # Of rows with the same id the text with the smallest hash (then smallest) counts, in any order.
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("row")
+    texts = texts.groupBy("id").agg(first).select("id", "row.text", "row.label")
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.mapInArrow(weigh, f"id {kind}, label int, at binary, value binary").collect()
+    rows = texts.mapInArrow(count, f"id {kind}, label int, at binary, value binary").collect()
     rows.sort(key=lambda r: (str(r["id"]), r["label"]))
     terms = np.zeros((len(rows), TERMS), np.float32)
     for row, r in enumerate(rows):
         terms[row, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
-    weights = np.log((1 + len(rows)) / (1 + (terms > 0).sum(0))) + 1
-    axes = _axes(terms * weights, dimensions, seed)
-    model = Model(weights.astype(np.float32), axes, np.zeros(0), np.array([r["label"] for r in rows]))
-    model.vectors = model.project(terms)
-    return model
+    held = np.count_nonzero(terms, axis=0)
+    weights = (np.log((1 + len(rows)) / (1 + held)) + 1).astype(np.float32)
+    weighed = weigh(terms, weights)
+    axes = _axes(weighed, dimensions, seed)
+    return Model(weights, axes, unit(weighed @ axes), np.array([r["label"] for r in rows]))
 
 
 def _axes(rows: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
     """The leading right singular vectors, by randomised subspace iteration."""
-    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    basis = np.random.default_rng(seed).standard_normal((rows.shape[1], dimensions + 16))
+    start = np.random.default_rng(seed).standard_normal((rows.shape[1], dimensions + 16))
+    basis = start.astype(np.float32)
     for _ in range(6):
-        basis, _ = np.linalg.qr(unit.T @ (unit @ basis))
-    _, _, axes = np.linalg.svd(unit @ basis, full_matrices=False)
+        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
+    _, _, axes = np.linalg.svd(rows @ basis, full_matrices=False)
     return (basis @ axes.T)[:, :dimensions].astype(np.float32)
 
 

@@ -541,6 +541,36 @@ def test_quality(spark, odd, empty):
     assert {r.quality_score for r in quality.with_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghij", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b\u4e5d\u5341"])
+def test_quality_of_texts_that_differ_in_words_only(spark, alphabet):
+    """Good and bad texts have words of the same lengths, of the same letters, in the same layout;
+    with Chinese signs there are no blanks, so runs of bytes must tell."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.sample(alphabet, 5)) for _ in range(120)]
+    blank = " " if alphabet.isascii() else ""
+
+    def text(good):
+        own, other = (vocabulary[:60], vocabulary[60:]) if good else (vocabulary[60:], vocabulary[:60])
+        return blank.join(rng.choice(own if rng.random() < 0.8 else other) for _ in range(80)) + " ."
+
+    rows = [(i, text(i % 2)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id BIGINT, quality INT")
+    held = quality.digest(quality.with_quality(docs, labels)).filter("held_out").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in held) >= 0.95 * len(held) > 100
+
+
+def test_quality_of_repeated_ids_does_not_hang_on_the_order(spark):
+    rng = random.Random(12)
+    rows = [(i % 60, prose(rng, 30) if i % 2 else "#| " * 40) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id BIGINT, quality INT")
+    fitted = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id BIGINT, text STRING").repartition(4)
+        fitted.append(sorted(quality.with_quality(docs, labels).select("text", "quality_score").collect()))
+    assert fitted[0] == fitted[1]
+
+
 URLS = {
     "http://A.Example.NET/en/1?x#y": ("a.example.net", "/en/1", "example.net/en/", "allow"),
     "https://b.example.net/fr/": ("b.example.net", "/fr/", "net/", "block"),
