@@ -115,6 +115,8 @@ SQL["sales_mom_growth_by_tenant"] = _mom_growth("tenant")
 for _key in ("product", "customer"):
     SQL[f"sales_top_{_key}s"] = _top(_key, False)
     SQL[f"sales_top_{_key}s_by_tenant"] = _top(_key, True)
+SQL["sales_top_customers_by_summaries"] = _top("customer", False)
+SQL["sales_top_customers_by_tenant_and_summaries"] = _top("customer", True)
 SQL["sales_region_revenue"] = f"""WITH {SALES}
 SELECT region, {_sum('revenue')} AS revenue FROM sales GROUP BY region"""
 SQL["sales_breakdown_one_scan"] = f"""WITH {SALES} SELECT 'total' AS section,

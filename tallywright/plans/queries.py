@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.numbers import split_amounts, sum_parts, sum_total
 from tallywright.operators import (
-    accounts, billing, coerce, infer, mapping, marketing, prompts, sales, uploads,
+    accounts, billing, coerce, heavy, infer, mapping, marketing, prompts, sales, uploads,
 )
 from tallywright.operators.settle import shared_folder
 from tallywright.plans import incremental, reports
@@ -95,6 +95,18 @@ def sales_top_customers_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame
     return sales.top_customers(facts, ("tenant",))
 
 
+@query
+def sales_top_customers_by_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _sales(spark, sf_dir, "date", "revenue", "customer")
+    return heavy.top_by_summaries(facts, (), "customer")
+
+
+@query
+def sales_top_customers_by_tenant_and_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _sales(spark, sf_dir, "tenant", "date", "revenue", "customer")
+    return heavy.top_by_summaries(facts, ("tenant",), "customer")
+
+
 @query
 def sales_region_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.revenue_by_region(_sales(spark, sf_dir, "date", "revenue", "region"))
