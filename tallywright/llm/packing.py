@@ -53,41 +53,72 @@ def token_pieces(
     )
 
 
-def completions(lengths: list[int], left: dict[int, int], space: int, most: int, nodes: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``space`` with what is left, the fullest first.
+Filling = tuple[int, ...]
+Plan = list[tuple[Filling, int]]
 
-    Depth first from the largest length that fits. A filling to which something could be added is
-    dominated and never leaves the search; a full one ends it, as nothing beats it. ``nodes`` steps
-    bound the search, ``most`` the number of fillings.
+
+def dominates(one: Filling, other: Filling) -> bool:
+    """Whether the pieces of ``other`` can be put into the places of those of ``one``: then a packing
+    with ``other`` stays one if the two change places, so ``other`` need not be tried."""
+    if sum(other) > sum(one) or max(other, default=0) > max(one, default=0):
+        return False
+
+    def fits(at: int, rooms: Filling) -> bool:
+        if at == len(other):
+            return True
+        return any(
+            fits(at + 1, (*rooms[:i], room - other[at], *rooms[i + 1 :]))
+            for i, room in enumerate(rooms)
+            if room >= other[at] and room not in rooms[:i]
+        )
+
+    return fits(0, one)
+
+
+def completions(lengths: list[int], left: dict[int, int], space: int, most: int, nodes: int) -> list[Filling]:
+    """The ``most`` fullest undominated fillings of ``space`` with what is left, the fullest first.
+
+    Depth first from the largest length that fits, each taken as often as possible first, so no more
+    levels than different lengths. A filling to which something could be added is dominated and not
+    recorded. The search ends when it has ``most`` full ones, or after ``nodes`` steps once it has
+    any; the dominance of others is tested where fillings are short.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = [nodes]
+    found: dict[Filling, int] = {}
+    used: dict[int, int] = {}
+    steps = full = 0
 
-    def grow(space: int, top: int, taken: tuple[int, ...]) -> bool:
-        steps[0] -= 1
-        at = bisect.bisect_right(lengths, min(space, top)) - 1
-        smallest = next((n for n in lengths if left[n] > taken.count(n)), None)
+    def grow(space: int, at: int, taken: Filling) -> bool:
+        nonlocal steps, full
+        steps += 1
+        smallest = next((n for n in lengths if left[n] > used.get(n, 0)), None)
         if smallest is None or smallest > space:
-            found.append((space, taken))
-            return space == 0
-        while at >= 0 and steps[0] > 0:
-            length = lengths[at]
-            if left[length] > taken.count(length):
-                if grow(space - length, length, (*taken, length)):
+            full += space == 0 and taken not in found
+            found[taken] = space
+        for i in range(min(at, bisect.bisect_right(lengths, space)) - 1, -1, -1):
+            n = lengths[i]
+            for times in range(min(left[n], space // n), 0, -1):
+                used[n] = times
+                ended = grow(space - times * n, i, taken + (n,) * times)
+                used[n] = 0
+                if ended:
                     return True
-            at -= 1
-        return False
+        return full >= most or (steps >= nodes and bool(found))
 
-    grow(space, space, ())
-    if not found:
-        found.append((space, ()))
-    return [taken for _, taken in sorted(set(found))[:most]]
+    grow(space, len(lengths), ())
+    kept: list[Filling] = []
+    for taken in sorted(found, key=lambda t: (found[t], len(t), t[:1] and -t[0])):
+        short = len(taken) <= 8
+        if not (short and any(len(k) <= 8 and dominates(k, taken) for k in kept)):
+            kept.append(taken)
+        if len(kept) == most:
+            break
+    return kept
 
 
-def best_fit(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
+def best_fit(counts: dict[int, int], limit: int) -> Plan:
     """Best-fit decreasing over counts: each length, the largest first, goes where it leaves the
     least space; equal sequences are handled together, so steps do not grow with the counts."""
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    open_: dict[int, Plan] = {}
     spaces: list[int] = []
     for length in sorted((n for n, c in counts.items() if c), reverse=True):
         count = counts[length]
@@ -115,47 +146,114 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...],
     return [each for group in open_.values() for each in group]
 
 
-def descend(counts: dict[int, int], limit: int, fewer_than: int, deviate: tuple[int, int], branches: int, nodes: int) -> list[tuple[tuple[int, ...], int]] | None:
-    """One descent of bin completion: the largest piece left is put with the fullest undominated
-    filling, as often as the pieces allow; at one step another filling is taken. None as soon as
-    the waste leaves no way to need fewer sequences than the incumbent."""
+def lower_bound(counts: dict[int, int], limit: int) -> int:
+    """So many sequences any packing needs: the tokens' share, or more where large pieces share badly.
+
+    For each bound up to half of ``limit``: pieces over half have sequences of their own, and what the
+    pieces from the bound to half need beyond the room beside those that leave at least the bound
+    free comes on top.
+    """
+    size = np.array(sorted(n for n, c in counts.items() if c), np.int64)
+    number = np.array([counts[n] for n in size.tolist()], np.int64)
+    least = -(-int((size * number).sum()) // limit)
+    over = size * 2 > limit
+    for bound in [0, *size[~over].tolist()]:
+        beside = over & (size <= limit - bound)
+        room = int(((limit - size) * number)[beside].sum())
+        rest = int((size * number)[~over & (size >= bound)].sum())
+        least = max(least, int(number[over].sum()) + max(0, -((room - rest) // limit)))
+    return least
+
+
+def branch_and_bound(
+    counts: dict[int, int],
+    limit: int,
+    made: int,
+    steps: int,
+    deviate: tuple[int, int] = (0, 0),
+    branches: int = 4,
+    nodes: int = 400,
+) -> Plan | None:
+    """The best plan found with fewer than ``made`` sequences, by bin completion; else None.
+
+    Depth first: the largest piece left goes with each of its undominated fillings in turn, the
+    fullest first, as often as the pieces allow, then once. A branch ends as soon as its waste leaves
+    no way to need fewer sequences than the best plan so far. ``deviate`` (step, turn) starts one
+    step with another filling. The search is complete, if it ends before ``steps`` fillings are put
+    and ``branches`` and ``nodes`` do not cut the fillings.
+    """
     total = sum(n * c for n, c in counts.items())
     left = {n: c for n, c in counts.items() if c}
-    lengths, plan, waste = sorted(left), [], 0
-    while lengths:
+
+    def options(depth: int) -> Iterator[tuple[Filling, int]]:
+        lengths = [n for n in left if left[n]]
+        lengths.sort()
         largest = lengths[-1]
         left[largest] -= 1
-        step, branch = deviate
-        at = len(plan) == step
-        options = completions(lengths, left, limit - largest, branches if at else 1, nodes)
+        fillings = completions(lengths, left, limit - largest, branches, nodes)
         left[largest] += 1
-        filling = (largest, *options[min(branch, len(options) - 1) if at else 0])
-        times = min(left[n] // filling.count(n) for n in set(filling))
+        turn = deviate[1] % len(fillings) if depth == deviate[0] else 0
+        for taken in fillings[turn:] + fillings[:turn]:
+            filling = (largest, *taken)
+            times = min(left[n] // filling.count(n) for n in set(filling))
+            yield filling, times
+            if times > 1:
+                yield filling, 1
+
+    def put(filling: Filling, times: int) -> None:
         for n in filling:
             left[n] -= times
-        lengths = [n for n in lengths if left[n]]
-        plan.append((filling, times))
-        waste += times * (limit - sum(filling))
-        if waste > (fewer_than - 1) * limit - total:
-            return None
-    return plan
 
+    best, plan, waste = None, [], 0
+    slack = (made - 1) * limit - total
+    if slack < 0 or not left:
+        return None
+    frames = [options(0)]
+    while frames and steps > 0:
+        choice = next(frames[-1], None)
+        if choice is None:
+            frames.pop()
+            if plan:
+                filling, times = plan.pop()
+                put(filling, -times)
+                waste -= times * (limit - sum(filling))
+            continue
+        filling, times = choice
+        steps -= 1
+        lost = times * (limit - sum(filling))
+        if waste + lost > slack:
+            continue
+        put(filling, times)
+        plan.append(choice)
+        waste += lost
+        if any(left.values()):
+            frames.append(options(len(plan)))
+            continue
+        best = list(plan)
+        slack = (sum(t for _, t in best) - 1) * limit - total
+        if slack < 0:
+            return best
+        plan.pop()
+        put(filling, -times)
+        waste -= lost
+    return best
 
-def complete(counts: dict[int, int], limit: int, tries: int = 60, branches: int = 3, nodes: int = 400, seed: int = 1) -> list[tuple[tuple[int, ...], int]]:
+
+def complete(counts: dict[int, int], limit: int, effort: int = 40, seed: int = 1) -> Plan:
     """Fill sequences of ``limit`` from so many pieces of each length: fillings and their numbers.
 
-    Best fit gives the incumbent. Bin completion then works on the pieces of its wasteful
-    sequences, together with some full ones drawn anew each time, and a filling of them with
-    fewer sequences takes their place. It ends at the lower bound or after ``tries`` searches. The
-    work depends on the number of different lengths, not on how many pieces there are.
+    Best fit gives the incumbent. Branch and bound then works on the pieces of its wasteful
+    sequences, together with some full ones drawn anew each time, and a filling of them with fewer
+    sequences takes their place. It ends at :func:`lower_bound`, or after ``effort`` fillings put for each
+    different length (and 1000 more). The work depends on the number of different lengths, not on how
+    many pieces there are.
     """
     draw = random.Random(seed)
     plan = best_fit(counts, limit)
-    least = -(-sum(n * c for n, c in counts.items()) // limit)
-    for attempt in range(tries):
-        if sum(times for _, times in plan) <= least:
-            break
-        share = (0.0, 0.1, 0.3, 0.6)[attempt % 4]
+    least = lower_bound(counts, limit)
+    steps, attempt = 1000 + effort * len(counts), 0
+    while steps > 0 and sum(times for _, times in plan) > least:
+        share = (0.0, 0.1, 0.3, 0.6, 1.0)[attempt % 5]
         loose = [p for p in plan if sum(p[0]) < limit or draw.random() < share]
         chosen = set(map(id, loose))
         pool: dict[int, int] = {}
@@ -163,10 +261,11 @@ def complete(counts: dict[int, int], limit: int, tries: int = 60, branches: int
             for n in filling:
                 pool[n] = pool.get(n, 0) + times
         made = sum(times for _, times in loose)
-        found = descend(pool, limit, made, (draw.randrange(20), attempt % branches), branches, nodes)
-        if found is None:
-            continue
-        plan = [p for p in plan if id(p) not in chosen] + found
+        now = min(steps, 4 * len(pool) + 60)
+        steps, attempt = steps - now, attempt + 1
+        found = branch_and_bound(pool, limit, made, now, (draw.randrange(20), attempt))
+        if found is not None:
+            plan = [p for p in plan if id(p) not in chosen] + found
     return plan
 
 
@@ -220,7 +319,7 @@ def pack(
     )
 
 
-def _places(plan: list[tuple[tuple[int, ...], int]], counts: dict[int, tuple[int, int]]) -> np.ndarray:
+def _places(plan: Plan, counts: dict[int, tuple[int, int]]) -> np.ndarray:
     """Rows of (first position, pieces of that length in a sequence, first sequence, offset of the
     first of them, length), by position: a few for each filling."""
     reached = {length: first for length, (_, first) in counts.items()}

@@ -312,6 +312,59 @@ def test_packing_search():
     assert sum(t for _, t in packing.complete({700: 10**6, 324: 10**6}, 1024)) == 10**6
 
 
+def fewest(pieces, limit):
+    """The optimum, by putting each piece into each open sequence or a new one."""
+    best = [len(pieces)]
+
+    def put(at, spaces):
+        if len(spaces) >= best[0]:
+            return
+        if at == len(pieces):
+            best[0] = len(spaces)
+            return
+        for space in sorted(set(spaces)):
+            if space >= pieces[at]:
+                rest = list(spaces)
+                rest.remove(space)
+                put(at + 1, [*rest, space - pieces[at]])
+        put(at + 1, [*spaces, limit - pieces[at]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_search_reaches_the_optimum():
+    """Small cases against brute force, among them those where best fit needs one sequence more."""
+    rng = random.Random(31)
+    gained = 0
+    for _ in range(150):
+        limit = rng.choice([10, 20, 50])
+        pieces = sorted((rng.randrange(2, limit * 2 // 3) for _ in range(rng.randrange(1, 10))), reverse=True)
+        counts = dict(collections.Counter(pieces))
+        want = fewest(pieces, limit)
+        fitted = sum(t for _, t in packing.best_fit(counts, limit))
+        plan = packing.branch_and_bound(counts, limit, fitted, 10**6, branches=10**6, nodes=10**6)
+        assert (sum(t for _, t in plan) if plan else fitted) == want
+        assert sum(t for _, t in packing.complete(counts, limit)) == want
+        assert -(-sum(pieces) // limit) <= packing.lower_bound(counts, limit) <= want
+        gained += fitted > want
+    assert gained > 2
+
+
+def test_packing_fillings_are_the_undominated_ones():
+    rng = random.Random(32)
+    for _ in range(60):
+        left = {n: rng.randrange(1, 3) for n in rng.sample(range(2, 14), 5)}
+        pieces = sorted((n for n, c in left.items() for _ in range(c)), reverse=True)
+        every = {t for size in range(len(pieces) + 1) for t in itertools.combinations(pieces, size) if sum(t) <= 20}
+        got = packing.completions(sorted(left), left, 20, 10**6, 10**6)
+        assert set(got) <= every and len(set(got)) == len(got)
+        assert all(any(packing.dominates(g, t) for g in got) for t in every)
+        assert not any(packing.dominates(a, b) for a in got for b in got if a != b)
+    # A bound on the steps still gives a whole filling.
+    assert sum(packing.completions([1, 2], {1: 600, 2: 300}, 1000, 1, 1)[0]) == 1000
+
+
 def test_mixing(odd, odd_rows, empty, spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randrange(60)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)]
