@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with
     the smallest id stays."""
-    return jaccard.one_of_each(docs, jaccard.similar_sets(docs, size=5, percent=80))
+    return jaccard.one_of_each(docs, size=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tallywright.llm.components import connected
 from tallywright.llm.kneser_ney import Layout, Table, counted, local_path, merged, tables
 from tallywright.llm.positions import with_positions
 from tallywright.llm.storage import new_folder, stored
-from tallywright.llm.text import mixed, runs, shingles, words
+from tallywright.llm.text import free_name, mixed, runs, shingles, words
 
 #: Bytes of text worked on at once.
 RUN = 2 << 20
@@ -52,16 +52,17 @@ def _by_document(order: np.ndarray, document: np.ndarray) -> np.ndarray:
 
 
 def set_keys(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, key) of each document, stored."""
+    """(id, text_hash, n, key) of each document, stored."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, size=RUN):
             _, count, key = _sets(batch.column("text"), size)
-            columns = [batch.column("id"), pa.array(count), pa.array(key)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key"])
+            columns = [*(batch.column(c) for c in ("id", "text_hash")), pa.array(count), pa.array(key)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n", "key"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return stored(docs.mapInArrow(read, f"id {kind}, n bigint, key bigint"))
+    marked = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return stored(marked.mapInArrow(read, f"id {kind}, text_hash bigint, n bigint, key bigint"))
 
 
 def _once(count: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -277,6 +278,13 @@ def similar_sets(
     belong to the component of an equal text, but a text that only such rows have links with no
     other. An empty table gives no rows. Other columns are not read.
     """
+    classes = set_classes(docs, size, percent, id_col, text_col)
+    return classes.select(id_col, "n_shingles", "component_id")
+
+
+def set_classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of :func:`similar_sets` with set_root, which tells components of one least id apart,
+    and text_hash, which tells texts of one id apart."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     light = set_keys(slim, size)
     repeated = repeated_grams(slim, size, int(light.agg(F.sum("n")).first()[0] or 0))
@@ -289,15 +297,33 @@ def similar_sets(
     least = marked.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     alone = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return marked.join(least, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        alone.alias("component_id"),
+        F.col("root").alias("set_root"),
+        "text_hash",
     )
 
 
 def one_of_each(
-    docs: DataFrame, classes: DataFrame, id_col: str = "doc_id"
+    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without those whose component has a smaller id. Rows of one id are one document, so
-    one of them stays; rows without an id cannot be told apart and all stay."""
-    kept = classes.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """One document of each component, that with the smallest id, whole.
+
+    Different texts of one id are documents of their own: of those in one component the one with the
+    smallest hash stays. Equal rows of one id are one document. Rows without an id cannot be told
+    apart and all stay.
+    """
+    classes = set_classes(docs, size, percent, id_col, text_col)
+    kept = (
+        classes.filter(F.col(id_col) == F.col("component_id"))
+        .groupBy(id_col, "set_root")
+        .agg(F.min("text_hash").alias("text_hash"))
+        .select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"))
+        .distinct()
+    )
+    same = (docs[id_col] == kept["__id"]) & (F.xxhash64(docs[text_col]) == kept["__hash"])
+    hashed = free_name("__text", docs.columns)
+    named = docs.join(kept, same, "left_semi").withColumn(hashed, F.xxhash64(text_col))
+    named = named.dropDuplicates([id_col, hashed]).drop(hashed)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
