@@ -16,6 +16,11 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"
 
 
+def without_na(c: Column, tokens: Sequence[str] = schema.NA_TOKENS) -> Column:
+    """A text cell, null where it holds a missing-value token."""
+    return F.when(~c.isin(*tokens), c) if tokens else c
+
+
 def drop_na_tokens(df: DataFrame, tokens: Sequence[str] = schema.NA_TOKENS) -> DataFrame:
     """Cells holding a missing-value token become null in every text column."""
     if not tokens:
@@ -23,18 +28,21 @@ def drop_na_tokens(df: DataFrame, tokens: Sequence[str] = schema.NA_TOKENS) -> D
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     return df.select(
         *[
-            F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c)
-            if c in text
-            else F.col(f"`{c}`")
+            without_na(F.col(f"`{c}`"), tokens).alias(c) if c in text else F.col(f"`{c}`")
             for c in df.columns
         ]
     )
 
 
+def parsed_number(c: Column) -> Column:
+    """The double that a text cell writes, an infinity beyond the largest one; else null."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
 def as_number(c: Column, kind: T.DataType) -> Column:
     """A double, or null where the cell is not a number. Typed columns skip the text grammar."""
     if isinstance(kind, T.StringType):
-        return finite(F.when(c.rlike(NUMBER), c.try_cast("double")))
+        return finite(parsed_number(c))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return finite(c.cast("double"))
     if isinstance(kind, T.DecimalType):  # to the nearest double of the decimal's own text

@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallywright.operators.infer import infer_types, with_types
 from tallywright.sources import files
@@ -46,3 +47,25 @@ def test_facts_merge_in_any_order(spark, parts):
     empty = infer_types(df.limit(0)).collect()
     assert [(r["column"], r.type, r.n_rows) for r in empty][1:] == [("odd name", "double", 0), ("b", "double", 0), ("c", "double", 0)]
     assert with_types(df).select("c").dtypes == [("c", "string")]
+
+
+def test_what_runs_for_a_cell_does_not_grow_with_the_columns(spark):
+    """Generated code beyond 8000 bytes is not compiled and runs many times slower."""
+    wide = spark.range(1).select(*[F.lit("1.5").alias(f"c{n}") for n in range(60)])
+    for df in (infer_types(wide), with_types(wide, {f"c{n}": "double" for n in range(60)})):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") <= 4 and len(df.collect()) in (1, 60)
+
+
+def test_facts_of_odd_cells(spark):
+    cells = {
+        "9223372036854775807": (1, 19, 0), "-9223372036854775808": (1, 19, 0), "9223372036854775808": (2, 19, 0),
+        "-9223372036854775809": (2, 19, 0), " +00012 ": (1, 2, 0), "000": (1, 0, 0), "-0.50": (2, 0, 2), "7.": (2, 1, 0),
+        ".25": (2, 0, 2), "1E3": (2, None, None), "1e400": (16, None, None), "1" * 400: (16, 400, 0), "\t4\n": (1, 1, 0),
+        "12\u2028": (16, 2, 0), ".": (16, None, None), "+-1": (16, None, None), "e": (16, None, None), " 2024-02-29 ": (8, None, None),
+        "2024-02-30": (16, None, None), "2024-1-5T10:00:00": (8, None, None), "TRUE": (4, None, None), "1,5": (16, None, None),
+        "\uff11": (16, None, None), ":1": (16, None, None), "nan": (0, None, None),
+    }
+    df = spark.createDataFrame([(c, c) for c in cells], "file STRING, cell STRING")
+    got = {r.file: (r.kinds, r.whole_digits, r.scale) for r in infer_types(df, ("file",)).collect()}
+    assert got == cells
