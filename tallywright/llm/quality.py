@@ -39,6 +39,8 @@ PARTS = (
 
 #: Documents whose terms are held, and compared with the labelled rows, at once.
 BLOCK = 512
+#: Bytes of text whose terms are worked out at once: each byte takes some 60 in between.
+RUN = 1 << 20
 
 
 def term_weights(text: pa.Array) -> np.ndarray:
@@ -80,6 +82,12 @@ def term_weights(text: pa.Array) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
+def terms_by_runs(batch: pa.RecordBatch, text_col: str) -> np.ndarray:
+    """The same, worked out over so few bytes at once that the places in between stay small."""
+    parts = [term_weights(r.column(text_col)) for r in runs(iter([batch]), text_col, size=RUN)]
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def _counts(document: np.ndarray, term: np.ndarray, rows: int, terms: int) -> np.ndarray:
     """How often each text has each term. A term that begins so late in its text that it ends in the
     next one does not count: ``term`` is shorter than ``document`` by what a term needs after it."""
@@ -173,7 +181,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, most=BLOCK):
-            rows = [(np.flatnonzero(row), row) for row in term_weights(batch.column("text"))]
+            rows = [(np.flatnonzero(row), row) for row in terms_by_runs(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -240,7 +248,7 @@ def with_quality(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, text_col, BLOCK):
             text = batch.column(text_col)
-            votes = model.value.vote(term_weights(text), neighbours, power)
+            votes = model.value.vote(terms_by_runs(batch, text_col), neighbours, power)
             votes[np.diff(words(text).first) == 0] = 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes)], [*names, SCORE])
 
