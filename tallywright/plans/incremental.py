@@ -175,7 +175,7 @@ def apply_change(
     tenant. Uploads without a tenant, time or id are left out. ``change`` is a number above all
     before; False is returned for one that counts already.
 
-    Reads ``rows`` once, and of the log only the slots of the tenants in question.
+    Reads ``rows`` and ``uploads`` once each, and of the log only the slots of the tenants in question.
     """
     done, _ = changes(spark, store)
     if change in done:
@@ -188,6 +188,8 @@ def apply_change(
         F.col("upload_id").cast("string").alias("upload_id"),
         F.col("uploaded_at").cast("timestamp_ntz").alias("uploaded_at"),
     ).dropna()
+    last = sent.groupBy(*by).agg(F.max(F.struct("uploaded_at", "upload_id")).alias("last"))
+    sent = settle(last.select(*by, "last.upload_id", "last.uploaded_at"))  # a row per tenant
     known = log(spark, store, "uploads", _slots(sent, store)).select(*sent.columns)
     sides = sent.withColumn("new", F.lit(True)).unionByName(known.withColumn("new", F.lit(False)))
     newest = sides.groupBy(*by).agg(F.max(F.struct("uploaded_at", "upload_id", "new")).alias("last"))
