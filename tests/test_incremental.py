@@ -110,3 +110,16 @@ def test_only_slots_of_changed_tenants_are_read(spark, store):
     text = incremental.breakdown(spark, store, change=2)._jdf.queryExecution().executedPlan().toString()
     slot = spark.sql("SELECT pmod(xxhash64('t3'), 4)").first()[0]
     assert f"(slot#" in text and f"= {slot})" in text.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_uploads_are_read_once_a_change(spark, store):
+    rows, sent = batch(spark, random.Random(8), 1, ["a", "b", "c"])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for one in batches:
+            seen.add(one.num_rows)
+            yield one
+
+    assert incremental.apply_change(spark, store, 1, rows, sent.mapInArrow(count, UPLOADS))
+    assert seen.value == sent.count()
