@@ -688,3 +688,20 @@ def test_a_mix_keeps_columns_called_like_its_own(spark):
     assert mixed.columns == docs.columns
     got = mixed.collect()
     assert got and all(r["__id"] == r.doc_id and r["__key"] == "k" for r in got)
+
+
+def test_chunks_go_through_the_tokenizer_in_a_row(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real, texts = tokens.tokenizer(path, False), []
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            texts.extend(some)
+            return real.encode_batch_fast(some, **options)
+
+    monkeypatch.setattr(tokens, "tokenizer", lambda *_: Counting())
+    text = " ".join(f"w{n}x don't \u00e9{n}" for n in range(400)) + "  two\n\nlines <|endoftext|> \u3000 end"
+    ids, at = tokens.encode(pa.array([text, None, "", text[1:]]), path, tokens.Memory())
+    want = [real.encode(t, add_special_tokens=False).ids for t in (text, "", "", text[1:])]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert len(texts) < 40
